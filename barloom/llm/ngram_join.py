@@ -4,7 +4,7 @@ Shingles are ordered by estimated frequency, rare ones first. Two sets of enough
 overlap share at least k shingles of their k-prefixes, whatever k each uses, taking
 the smaller. Each document lengthens its prefix while the estimated cost of its
 candidates falls. Documents of equal sets form one class; classes that share one of
-their smallest hashes are first compared with one leader, so that a large group of
+their smallest hashes are first compared in blocks, in two rounds, so that a large group of
 near copies becomes one component without all its pairs; the prefix join then finds
 every other link between components, and each is verified on the whole texts.
 """
@@ -25,9 +25,10 @@ from barloom.llm.hashing import mixed, shingle_sets
 
 CELLS = 1 << 20  # of the frequency sketch
 LONGEST_MATCH = 8
-LEADERS = 3
+KEYS = 3  # smallest hashes of each round that compares blocks
+_ORDERS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)  # a round each
 MOST_SENT = 200_000  # classes, of 24 bytes each, that are broadcast to find their texts
-BLOCK = 256  # texts compared with one leader in a task
+BLOCK = 192  # texts compared with each other, or with one text, in a task
 
 
 def required(n, num: int, den: int):
@@ -89,7 +90,7 @@ def chosen_prefix(hashes: np.ndarray, sketch: np.ndarray, num: int, den: int) ->
 def document_sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """doc_id, key, n, digest, k, prefix and mins of each document's shingle set.
 
-    key is xxhash64 of the text, mins are the smallest mixed hashes.
+    key is xxhash64 of the text, mins are the KEYS smallest hashes in each order.
     """
     sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, size))
     longs = pa.list_(pa.int64())
@@ -102,7 +103,7 @@ def document_sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 rows = []
                 for hashes in shingle_sets(texts[a:b], size):
                     k, prefix = chosen_prefix(hashes, sketch.value, num, den)
-                    mins = np.sort(mixed(hashes ^ np.uint64(0xA0761D6478BD642F)))[:LEADERS] if len(prefix) else prefix
+                    mins = np.concatenate([np.sort(mixed(hashes ^ np.uint64(x)))[:KEYS] for x in _ORDERS]) if len(prefix) else prefix
                     rows.append((len(hashes), hashlib.md5(hashes.tobytes()).digest(), k, prefix.view(np.int64), mins.view(np.int64)))
                 yield record_batch(schema, [batch.column("doc_id").slice(a, b - a), batch.column("key").slice(a, b - a), *zip(*rows, strict=True)])
 
@@ -110,6 +111,63 @@ def document_sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, key long, n long, digest binary, k int, prefix array<long>, mins array<long>")
 
 
+def texts_of_classes(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """cid and text of a member of each class in wanted (cid)."""
+    wanted = stored(wanted.distinct(), "wanted")
+    where = classes.select("cid", "rep.doc_id", "rep.key").join(wanted, "cid")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_key"), "text")
+    if wanted.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        where = F.broadcast(where)
+    found = texts.join(where, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_key") == F.col("key")))
+    return stored(found.select("cid", "text"), "texts")
+
+
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    low, high = sorted((len(a), len(b)))
+    if den * low < num * high:
+        return False
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return den * shared >= num * (low + high - shared)
+
+
+def linked_in_blocks(keys: DataFrame, classes: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Links that join the classes of each key, in blocks of about BLOCK classes.
+
+    keys has key, cid and part; keys whose classes are all of one part, and keys with
+    the same classes as another, are left out. In a block a class is compared with
+    the members of each component found so far until one is similar.
+    """
+    groups = keys.groupBy("key").agg(F.count("*").alias("many"), F.min("part").alias("low"), F.max("part").alias("high"), F.sum(F.xxhash64("cid").cast("decimal(20,0)")).alias("sum"))
+    groups = groups.filter("low <> high").groupBy("many", "low", "high", "sum").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks"))
+    dealt = stored(keys.join(groups, "key").select("key", F.pmod(F.xxhash64("cid", "key"), F.col("blocks")).cast("int").alias("block"), "cid", "part"), "blocks")
+    texts = texts_of_classes(dealt.select("cid"), classes, docs)
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(group.column("cid").to_pylist(), group.column("part").to_pylist(), range(len(group)), strict=True))
+        sets = shingle_sets(group.column("text").to_pylist(), size)
+        found: list[dict[int, np.ndarray]] = []  # components: their members' sets
+        links = []
+        for cid, part, at in rows:
+            own = {cid: sets[at]}
+            rest = []
+            for component in found:
+                hit = next((c for c, s in component.items() if similar(s, sets[at], num, den)), None)
+                if hit is None:
+                    rest.append(component)
+                else:
+                    links.append((hit, cid))
+                    own |= component
+            found = [*rest, own]
+        return pa.table([[a for a, _ in links], [b for _, b in links]], schema=_LINKS)
+
+    return dealt.join(texts, "cid").groupBy("key", "block").applyInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of classes whose whole texts have similar sets.
 
@@ -117,29 +175,17 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, n
     to each block.
     """
     pairs = stored(pairs, "pairs")
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "wanted")
-    where = classes.select("cid", "rep.doc_id", "rep.key").join(wanted, "cid")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_key"), "text")
-    if wanted.limit(MOST_SENT + 1).count() <= MOST_SENT:
-        where = F.broadcast(where)
-    found = texts.join(where, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_key") == F.col("key")))
-    fetched = stored(found.select("cid", "text"), "texts")
+    fetched = texts_of_classes(pairs.select(F.explode(F.array("a", "b")).alias("cid")), classes, docs)
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     heads = blocks.join(fetched, F.col("a") == F.col("cid")).select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("b"), "text")
     rest = pairs.join(blocks, "a").join(fetched, F.col("b") == F.col("cid")).select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), "b", "text")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:
-        ids, texts = group.column("b").to_pylist(), group.column("text").to_pylist()
-        sets = shingle_sets(texts, size)
+        ids = group.column("b").to_pylist()
+        sets = shingle_sets(group.column("text").to_pylist(), size)
         head = sets[ids.index(None)]
-        found = []
-        for b, own in zip(ids, sets, strict=True):
-            if b is not None:
-                shared = len(np.intersect1d(head, own, assume_unique=True))
-                if den * shared >= num * (len(head) + len(own) - shared):
-                    found.append(b)
-        return pa.table([[group.column("a")[0].as_py()] * len(found), found], schema=schema)
+        found = [b for b, own in zip(ids, sets, strict=True) if b is not None and similar(head, own, num, den)]
+        return pa.table([[group.column("a")[0].as_py()] * len(found), found], schema=_LINKS)
 
     return heads.unionByName(rest).groupBy("a", "block").applyInArrow(run, "a long, b long")
 
@@ -165,11 +211,15 @@ def similar_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     )
     classes = stored(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
-    keys = classes.select("cid", "n", F.explode("mins").alias("key"))
-    leaders = keys.groupBy("key").agg(F.min("cid").alias("leader"), F.count("*").alias("many")).filter("many > 1")
-    pairs = keys.join(leaders, "key").filter("leader <> cid").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
-    near = stored(verified(pairs, classes, docs, size, num, den), "links")
-    first = connected_components(near)
+    near = first = None
+    for k in range(len(_ORDERS)):
+        mins = F.filter(F.slice("mins", 1 + k * KEYS, KEYS), lambda x: x.isNotNull())
+        part = F.col("cid") if first is None else F.coalesce("component", "cid")
+        known = classes if first is None else classes.join(first, F.col("cid") == F.col("node"), "left")
+        keys = known.select("cid", part.alias("part"), F.explode(mins).alias("key"))
+        links = linked_in_blocks(keys, classes, docs, size, num, den)
+        near = stored(links if near is None else near.unionByName(links), "links")
+        first = connected_components(near)
 
     joined = classes.select("cid", "n", "k", "prefix").join(first, F.col("cid") == F.col("node"), "left")
     lists = joined.select("cid", "n", "k", F.coalesce("component", "cid").alias("part"), F.explode("prefix").alias("token"))
