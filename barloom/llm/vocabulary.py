@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from barloom.llm.hashing import BYTE_BASE, _SPACE, mixed, spans
+from barloom.llm.hashing import _LOWER, _SPACE, BYTE_BASE, mixed, spans
 
 MEMORY = 400_000
 LONGEST = 64
@@ -50,16 +50,25 @@ def dropped_pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return begin, np.flatnonzero(stops) + 1, np.searchsorted(begin, offsets)
 
 
+def folded_case(raw: np.ndarray) -> np.ndarray:
+    """A-Z in lower case, but not before a byte that may belong to a combining mark."""
+    out = _LOWER[raw]
+    if len(raw) > 1:
+        marked = np.flatnonzero(raw[1:] >= 0x80)
+        out[marked] = raw[marked]
+    return out
+
+
 class PieceMemory:
     """Values of pieces, made once and remembered.
 
     make gets distinct pieces and returns a value for each. About MEMORY pieces of
     at most LONGEST bytes are remembered, the longest unused ones are forgotten
-    first; this changes speed only.
+    first; this changes speed only. prepare changes the bytes of all texts before.
     """
 
-    def __init__(self, make: Callable[[list[bytes]], list], cutter: Callable):
-        self.make, self.cutter, self.tick = make, cutter, 0
+    def __init__(self, make: Callable[[list[bytes]], list], cutter: Callable, prepare: Callable | None = None):
+        self.make, self.cutter, self.prepare, self.tick = make, cutter, prepare, 0
         self.hashes = np.zeros(0, dtype=np.uint64)
         self.used = np.zeros(0, dtype=np.int64)
         self.values = np.zeros(0, dtype=object)
@@ -73,6 +82,9 @@ class PieceMemory:
         np.cumsum([len(e) for e in encoded], out=offsets[1:])
         if not len(raw):
             return [[] for _ in texts]
+        if self.prepare is not None:
+            raw = self.prepare(raw)
+            data = raw.tobytes()
         begin, end, first = self.cutter(raw, offsets)
         keys = mixed(spans(raw.astype(np.uint64) + np.uint64(1), begin, end, BYTE_BASE) + (end - begin).astype(np.uint64))
         unique, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
@@ -118,7 +130,7 @@ class PieceEncoder:
     """Encodes texts to the bytes of their ids.
 
     style "leading" is for byte-level vocabularies, "dropped" for those that
-    discard white space.
+    discard white space and lower the case.
     """
 
     def __init__(self, path: str, style: str, dtype: str):
@@ -132,7 +144,7 @@ class PieceEncoder:
             return out
 
         self.tokenizer = tokenizer
-        self.memory = PieceMemory(make, leading_pieces if style == "leading" else dropped_pieces)
+        self.memory = PieceMemory(make, leading_pieces) if style == "leading" else PieceMemory(make, dropped_pieces, folded_case)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [b"".join(x) for x in self.memory.look_up(texts)]

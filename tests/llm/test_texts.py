@@ -178,6 +178,13 @@ def test_token_files(request, which):
     assert Counter((r.doc_id, r.start if r.doc_id is not None else None, r.n_tokens, r.ids_crc32) for r in got) == want
 
 
+def test_case_is_folded_as_the_tokenizer_does():
+    path = vocabulary.public_path("word_bpe_49k.json")
+    own = vocabulary.encoder(path, "dropped", "<u2")
+    given = ["W\u030a IT'S The THE", "H\u0331 J\u030c I\u0307 \u0130x E\u0301TE\u0301", "ΣΑΣ ÀB K"]
+    assert [np.frombuffer(x, "<u2").tolist() for x in own.encode(given)] == [own.tokenizer.encode(t, add_special_tokens=False).ids for t in given]
+
+
 def test_blocks_decode_from_checkpoints_and_notice_damage():
     ids = np.random.default_rng(0).zipf(1.3, 700_000) % 5000
     table = FrequencyTable.of_counts(np.bincount(ids, minlength=5000))
