@@ -105,13 +105,21 @@ def learn(texts: list[str], toxic: list[int]) -> Lexicon:
     y = np.array(toxic, dtype=np.int64)
     if len(y) == 0 or y.min() == y.max():
         return Lexicon(coefficients=(3.0 if len(y) and y.min() else -3.0, 0.0, 0.0))
-    vocabularies = [set(folded(t).split()) for t in texts]
-    met = (Counter(), Counter())
-    for words, t in zip(vocabularies, toxic, strict=True):
-        pieces = {f" {w} " for w in words}
+
+    def pieces(text: str) -> set[str]:
+        words = set(folded(text).split())
+        out = {f" {w} " for w in words}
         for w in words:
-            pieces.update(f" {w[:size]}" for size in range(SHORTEST, min(9, len(w) + 1)))
-        met[t].update(pieces)
+            out.update(f" {w[:size]}" for size in range(SHORTEST, min(9, len(w) + 1)))
+        return out
+
+    found = Counter(p for text, t in zip(texts, toxic, strict=True) if t for p in pieces(text))
+    # only pieces of enough toxic documents can become entries, so that no others are counted in the rest
+    met = (Counter(), Counter({p: n for p, n in found.items() if n >= 4}))
+    del found
+    for text, t in zip(texts, toxic, strict=True):
+        if not t:
+            met[0].update(p for p in pieces(text) if p in met[1])
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
 
     def weight(piece: str) -> float:
@@ -123,7 +131,7 @@ def learn(texts: list[str], toxic: list[int]) -> Lexicon:
         p = a / (a + b)
         return 2 * (a * math.log(p / share) + (b * math.log((1 - p) / (1 - share)) if b else 0.0)) if p > share else 0.0
 
-    strong = {p: strength(p) for p, a in met[1].items() if a >= 4 and weight(p) > 1.6}
+    strong = {p: strength(p) for p in met[1] if weight(p) > 1.6}
     order = sorted((p for p, s in strong.items() if s > 15), key=lambda p: (-strong[p], -len(p), p))
     chosen: dict[str, float] = {}
     begun: dict[str, float] = {}
