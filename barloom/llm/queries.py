@@ -61,13 +61,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: approximate, and are tested against brute force.
 ORACLES: dict[str, str] = {
     "op7_substring_dedup": r"""
-        WITH words AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+        WITH words AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
         docs AS (SELECT row_number() OVER () AS n, doc_id, w FROM words),
         starts AS (SELECT n, unnest(range(1, len(w) - 33)) AS i FROM docs WHERE len(w) >= 35),
         hashed AS (SELECT n, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM starts JOIN docs USING (n)),
         repeated AS (SELECT n, i FROM (SELECT n, i, count(*) OVER (PARTITION BY h) AS c FROM hashed) WHERE c > 1),
         gone AS (SELECT n, list(DISTINCT p) AS places FROM (SELECT n, unnest(range(i, i + 35)) AS p FROM repeated) GROUP BY n),
-        kept AS (SELECT doc_id, w, CASE WHEN places IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), x -> NOT list_contains(places, x[2])), x -> x[1]) END AS k
+        kept AS (SELECT doc_id, w, CASE WHEN places IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(places, x[2])), lambda x: x[1]) END AS k
                  FROM docs LEFT JOIN gone USING (n))
         SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - len(k))::BIGINT AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept""",
 }
