@@ -1 +1 @@
-
+"""Arithmetic, intervals and identities."""

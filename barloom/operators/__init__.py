@@ -1 +1 @@
-
+"""Lowering, folds and execution of queries."""

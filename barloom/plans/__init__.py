@@ -1 +1 @@
-
+"""Syntax, checks and domains."""

@@ -1 +1 @@
-
+"""Tables that queries read."""
