@@ -3,7 +3,10 @@
 Shingles are ordered by estimated frequency, rare ones first. Two sets of enough
 overlap share at least k shingles of their k-prefixes, whatever k each uses, taking
 the smaller. Each document lengthens its prefix while the estimated cost of its
-candidates falls. Documents of equal sets form one class; classes that share one of
+candidates falls. Of two prefixes the one that ends earlier in the order holds all that
+its set shares with the other among its own shingles, so that their overlap is at most
+what the prefixes share and what lies after it; pairs that this bound rules out are
+dropped, where shingles that no other component has are known not to be shared. Documents of equal sets form one class; classes that share one of
 their smallest hashes are first compared in blocks, in two rounds, so that a large group of
 near copies becomes one component without all its pairs; the prefix join then finds
 every other link between components, and each is verified on the whole texts.
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import record_batch, sliced, stored, texts_of
+from barloom.llm.common import dropped, record_batch, sliced, stored, texts_of
 from barloom.llm.components import connected_components
 from barloom.llm.hashing import mixed, shingle_sets
 
@@ -64,7 +67,7 @@ def frequency_sketch(docs: DataFrame, size: int) -> np.ndarray:
     for row in docs.select("text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect():
         out[row.block] = np.frombuffer(row.counts, dtype="<u4")
     out = out.reshape(-1)
-    return np.maximum(1, out - int(np.median(out))).astype(np.int32)
+    return np.clip(out - int(np.median(out)), 1, (1 << 31) - 1).astype(np.int32)
 
 
 def chosen_prefix(hashes: np.ndarray, sketch: np.ndarray, num: int, den: int) -> tuple[int, np.ndarray]:
@@ -87,14 +90,21 @@ def chosen_prefix(hashes: np.ndarray, sketch: np.ndarray, num: int, den: int) ->
     return k, hashes[order[: n - need + k]]
 
 
+def end_in_order(prefix: np.ndarray, sketch: np.ndarray) -> int:
+    """Grows with the place of the prefix's last shingle in the order; a few neighbours there have the same."""
+    if not len(prefix):
+        return 0
+    return int(sketch[int(prefix[-1]) % CELLS]) << 32 | int(prefix[-1]) >> 32
+
+
 def document_sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """doc_id, key, n, digest, k, prefix and mins of each document's shingle set.
+    """doc_id, key, n, digest, k, last, prefix and mins of each document's shingle set.
 
-    key is xxhash64 of the text, mins are the KEYS smallest hashes in each order.
+    key is xxhash64 of the text, last is end_in_order() of the prefix, mins are the KEYS smallest hashes in each order.
     """
     sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, size))
     longs = pa.list_(pa.int64())
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("k", pa.int32()), ("prefix", longs), ("mins", longs)])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("k", pa.int32()), ("last", pa.int64()), ("prefix", longs), ("mins", longs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,11 +114,11 @@ def document_sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 for hashes in shingle_sets(texts[a:b], size):
                     k, prefix = chosen_prefix(hashes, sketch.value, num, den)
                     mins = np.concatenate([np.sort(mixed(hashes ^ np.uint64(x)))[:KEYS] for x in _ORDERS]) if len(prefix) else prefix
-                    rows.append((len(hashes), hashlib.md5(hashes.tobytes()).digest(), k, prefix.view(np.int64), mins.view(np.int64)))
+                    rows.append((len(hashes), hashlib.md5(hashes.tobytes()).digest(), k, end_in_order(prefix, sketch.value), prefix.view(np.int64), mins.view(np.int64)))
                 yield record_batch(schema, [batch.column("doc_id").slice(a, b - a), batch.column("key").slice(a, b - a), *zip(*rows, strict=True)])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    return rows.mapInArrow(run, "doc_id long, key long, n long, digest binary, k int, prefix array<long>, mins array<long>")
+    return rows.mapInArrow(run, "doc_id long, key long, n long, digest binary, k int, last long, prefix array<long>, mins array<long>")
 
 
 def texts_of_classes(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -119,7 +129,9 @@ def texts_of_classes(wanted: DataFrame, classes: DataFrame, docs: DataFrame) ->
     if wanted.limit(MOST_SENT + 1).count() <= MOST_SENT:
         where = F.broadcast(where)
     found = texts.join(where, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_key") == F.col("key")))
-    return stored(found.select("cid", "text"), "texts")
+    texts = stored(found.select("cid", "text"), "texts")
+    dropped(docs.sparkSession, wanted)
+    return texts
 
 
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -165,16 +177,18 @@ def linked_in_blocks(keys: DataFrame, classes: DataFrame, docs: DataFrame, size:
             found = [*rest, own]
         return pa.table([[a for a, _ in links], [b for _, b in links]], schema=_LINKS)
 
-    return dealt.join(texts, "cid").groupBy("key", "block").applyInArrow(run, "a long, b long")
+    links = stored(dealt.join(texts, "cid").groupBy("key", "block").applyInArrow(run, "a long, b long"), "links")
+    for used in (dealt, texts):
+        dropped(docs.sparkSession, used)
+    return links
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole texts have similar sets.
+    """Those of the stored pairs (a, b) of classes whose whole texts have similar sets.
 
     Each a's partners are split into blocks of about BLOCK texts, and a's text goes
     to each block.
     """
-    pairs = stored(pairs, "pairs")
     fetched = texts_of_classes(pairs.select(F.explode(F.array("a", "b")).alias("cid")), classes, docs)
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     heads = blocks.join(fetched, F.col("a") == F.col("cid")).select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("b"), "text")
@@ -187,7 +201,35 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, n
         found = [b for b, own in zip(ids, sets, strict=True) if b is not None and similar(head, own, num, den)]
         return pa.table([[group.column("a")[0].as_py()] * len(found), found], schema=_LINKS)
 
-    return heads.unionByName(rest).groupBy("a", "block").applyInArrow(run, "a long, b long")
+    links = stored(heads.unionByName(rest).groupBy("a", "block").applyInArrow(run, "a long, b long"), "links")
+    for used in (pairs, fetched):
+        dropped(docs.sparkSession, used)
+    return links
+
+
+def candidates(lists: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of classes of different parts whose prefixes do not rule out a link.
+
+    lists has token, cid and part for the tokens that several parts have in prefixes;
+    facts has n, k and last of each cid.
+    """
+    kept = lists.groupBy("cid").agg(F.count("*").alias("kept"))
+    tail = F.ceil(F.col("n") * num / den).cast("long") - F.col("k")
+    each = facts.join(kept, "cid").select("cid", "n", "k", "last", tail.alias("tail"), (tail + F.col("kept")).alias("most"))
+    rows = lists.join(each, "cid")
+    left, right = (rows.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("cid", "part", "n", "k", "last", "tail", "most"))) for side in "ab")
+
+    def bound(name: str) -> str:
+        """name of the side whose prefix ends earlier."""
+        return f"case when last_a < last_b then {name}_a when last_b < last_a then {name}_b else greatest({name}_a, {name}_b) end"
+
+    overlap = f"{num} * (n_a + n_b)"  # times num + den
+    met = left.join(right, "token").filter(
+        f"cid_a < cid_b and part_a <> part_b and {den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b) and {num + den} * ({bound('most')}) >= {overlap}"
+    )
+    asked = F.expr(f"greatest(least(k_a, k_b), cast(ceil({overlap} / {num + den}) as bigint) - ({bound('tail')}))")
+    pairs = met.groupBy(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).agg(F.count("*").alias("shared"), F.first(asked).alias("asked"))
+    return pairs.filter("shared >= asked").select("a", "b")
 
 
 def similar_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -206,10 +248,13 @@ def similar_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
         F.count("*").alias("copies"),
         F.first("n").alias("n"),
         F.first("k").alias("k"),
+        F.first("last").alias("last"),
         F.first("prefix").alias("prefix"),
         F.first("mins").alias("mins"),
     )
     classes = stored(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    kept = stored(sets.select("doc_id", "key", "n", "digest"), "documents")
+    dropped(docs.sparkSession, sets)
 
     near = first = None
     for k in range(len(_ORDERS)):
@@ -218,24 +263,21 @@ def similar_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
         known = classes if first is None else classes.join(first, F.col("cid") == F.col("node"), "left")
         keys = known.select("cid", part.alias("part"), F.explode(mins).alias("key"))
         links = linked_in_blocks(keys, classes, docs, size, num, den)
-        near = stored(links if near is None else near.unionByName(links), "links")
+        near = links if near is None else near.unionByName(links)
         first = connected_components(near)
 
-    joined = classes.select("cid", "n", "k", "prefix").join(first, F.col("cid") == F.col("node"), "left")
-    lists = joined.select("cid", "n", "k", F.coalesce("component", "cid").alias("part"), F.explode("prefix").alias("token"))
+    joined = classes.select("cid", "prefix").join(first, F.col("cid") == F.col("node"), "left")
+    lists = joined.select("cid", F.coalesce("component", "cid").alias("part"), F.explode("prefix").alias("token"))
     ends = lists.withColumn("low", F.expr("min(part) over (partition by token)")).withColumn("high", F.expr("max(part) over (partition by token)"))
-    ends = stored(ends.filter("low <> high").select("token", "cid", "n", "k", "part"), "lists")
-    left = ends.select("token", *(F.col(c).alias(f"{c}_a") for c in ("cid", "n", "k", "part")))
-    right = ends.select("token", *(F.col(c).alias(f"{c}_b") for c in ("cid", "n", "k", "part")))
-    met = left.join(right, "token").filter(f"cid_a < cid_b and part_a <> part_b and {den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)")
-    more = met.groupBy(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("k_a", "k_b")).alias("k")).filter("shared >= k").select("a", "b")
-    far = verified(more, classes, docs, size, num, den)
+    ends = stored(ends.filter("low <> high").select("token", "cid", "part"), "lists")
+    pairs = stored(candidates(ends, classes.select("cid", "n", "k", "last"), num, den), "pairs")
+    dropped(docs.sparkSession, ends)
+    far = verified(pairs, classes, docs, size, num, den)
     parts = connected_components(near.unionByName(far))
 
     labelled = classes.select("cid", "digest", "copies", "rep").join(parts, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
     least = labelled.groupBy("component").agg(F.min(F.col("rep.doc_id")).alias("component_id"))
     named = labelled.join(least, "component").select("digest", "copies", "component_id")
-    kept = sets.select("doc_id", "key", "n", "digest")
     out = kept.filter("n > 0").join(named, "digest").select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("copies").alias("class_size"), "component_id")
     alone = kept.filter("n = 0").select("doc_id", "key", F.col("n").alias("n_shingles"), F.lit(1).cast("long").alias("class_size"), F.col("doc_id").alias("component_id"))
     return out.unionByName(alone)
