@@ -30,7 +30,7 @@ CELLS = 1 << 20  # of the frequency sketch
 LONGEST_MATCH = 8
 KEYS = 3  # smallest hashes of each round that compares blocks
 _ORDERS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)  # a round each
-MOST_SENT = 200_000  # classes, of 24 bytes each, that are broadcast to find their texts
+MOST_SENT = 200_000  # classes, of at most about 200 bytes each, that are broadcast to find their texts
 BLOCK = 192  # texts compared with each other, or with one text, in a task
 
 
@@ -121,17 +121,18 @@ def document_sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, key long, n long, digest binary, k int, last long, prefix array<long>, mins array<long>")
 
 
-def texts_of_classes(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """cid and text of a member of each class in wanted (cid)."""
-    wanted = stored(wanted.distinct(), "wanted")
-    where = classes.select("cid", "rep.doc_id", "rep.key").join(wanted, "cid")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_key"), "text")
+def with_texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """wanted, a stored table with one row for each cid, with the text of a member of the class.
+
+    Where few classes are wanted, the table is sent to the documents and no text moves. A
+    row that repeats both doc_id and text gives a row more.
+    """
+    where = classes.select("cid", "rep.doc_id", "rep.key").join(wanted, "cid").withColumnsRenamed({"doc_id": "__id", "key": "__key"})
+    texts = docs.select(F.col("doc_id").cast("long").alias("__doc"), F.xxhash64("text").alias("__text_key"), "text")
     if wanted.limit(MOST_SENT + 1).count() <= MOST_SENT:
         where = F.broadcast(where)
-    found = texts.join(where, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_key") == F.col("key")))
-    texts = stored(found.select("cid", "text"), "texts")
-    dropped(docs.sparkSession, wanted)
-    return texts
+    found = texts.join(where, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")))
+    return found.select("text", *wanted.columns)
 
 
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -156,8 +157,8 @@ def linked_in_blocks(keys: DataFrame, classes: DataFrame, docs: DataFrame, size:
     """
     groups = keys.groupBy("key").agg(F.count("*").alias("many"), F.min("part").alias("low"), F.max("part").alias("high"), F.sum(F.xxhash64("cid").cast("decimal(20,0)")).alias("sum"))
     groups = groups.filter("low <> high").groupBy("many", "low", "high", "sum").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks"))
-    dealt = stored(keys.join(groups, "key").select("key", F.pmod(F.xxhash64("cid", "key"), F.col("blocks")).cast("int").alias("block"), "cid", "part"), "blocks")
-    texts = texts_of_classes(dealt.select("cid"), classes, docs)
+    dealt = keys.join(groups, "key").select("cid", "part", F.struct("key", F.pmod(F.xxhash64("cid", "key"), F.col("blocks")).cast("int").alias("block")).alias("block"))
+    dealt = stored(dealt.groupBy("cid", "part").agg(F.collect_list("block").alias("blocks")), "blocks")  # at most KEYS each
 
     def run(group: pa.Table) -> pa.Table:
         rows = sorted(zip(group.column("cid").to_pylist(), group.column("part").to_pylist(), range(len(group)), strict=True))
@@ -177,9 +178,9 @@ def linked_in_blocks(keys: DataFrame, classes: DataFrame, docs: DataFrame, size:
             found = [*rest, own]
         return pa.table([[a for a, _ in links], [b for _, b in links]], schema=_LINKS)
 
-    links = stored(dealt.join(texts, "cid").groupBy("key", "block").applyInArrow(run, "a long, b long"), "links")
-    for used in (dealt, texts):
-        dropped(docs.sparkSession, used)
+    members = with_texts(dealt, classes, docs).select("cid", "part", "text", F.inline("blocks"))
+    links = stored(members.groupBy("key", "block").applyInArrow(run, "a long, b long"), "links")
+    dropped(docs.sparkSession, dealt)
     return links
 
 
@@ -189,7 +190,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, n
     Each a's partners are split into blocks of about BLOCK texts, and a's text goes
     to each block.
     """
-    fetched = texts_of_classes(pairs.select(F.explode(F.array("a", "b")).alias("cid")), classes, docs)
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "wanted")
+    fetched = stored(with_texts(wanted, classes, docs), "texts")
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     heads = blocks.join(fetched, F.col("a") == F.col("cid")).select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("b"), "text")
     rest = pairs.join(blocks, "a").join(fetched, F.col("b") == F.col("cid")).select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), "b", "text")
@@ -202,7 +204,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, n
         return pa.table([[group.column("a")[0].as_py()] * len(found), found], schema=_LINKS)
 
     links = stored(heads.unionByName(rest).groupBy("a", "block").applyInArrow(run, "a long, b long"), "links")
-    for used in (pairs, fetched):
+    for used in (pairs, wanted, fetched):
         dropped(docs.sparkSession, used)
     return links
 
