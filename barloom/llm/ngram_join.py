@@ -6,10 +6,12 @@ the smaller. Each document lengthens its prefix while the estimated cost of its
 candidates falls. Of two prefixes the one that ends earlier in the order holds all that
 its set shares with the other among its own shingles, so that their overlap is at most
 what the prefixes share and what lies after it; pairs that this bound rules out are
-dropped, where shingles that no other component has are known not to be shared. Documents of equal sets form one class; classes that share one of
-their smallest hashes are first compared in blocks, in two rounds, so that a large group of
-near copies becomes one component without all its pairs; the prefix join then finds
-every other link between components, and each is verified on the whole texts.
+dropped, where shingles that no other component has are known not to be shared.
+
+Documents of equal sets form one class; classes that share one of their smallest hashes
+are first compared in blocks, in two rounds, so that a large group of near copies becomes
+one component without all its pairs; the prefix join then finds every other link between
+components, and each is verified on the whole texts.
 """
 
 from __future__ import annotations
