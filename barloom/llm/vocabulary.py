@@ -29,6 +29,7 @@ def leading_pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     cut = np.zeros(len(raw) + 1, dtype=bool)
     if len(raw) > 1:
         cut[: len(raw) - 1] = (raw[:-1] == 0x20) & ~_NO_CUT[raw[1:]]
+    cut[offsets[1:][np.diff(offsets) > 0] - 1] = False  # the character after a last space is another document's
     cut[offsets[:-1][np.diff(offsets) > 0]] = True
     cut[len(raw)] = True
     edges = np.flatnonzero(cut)

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 
 from barloom.llm import bpe, hashing, media, ngram_join, packing, substring_dedup, token_files, vocabulary
@@ -155,6 +156,21 @@ def test_byte_level_bpe(request, which):
     assert Counter(tuple(r) for r in bpe.round_trip(docs, path, public_tokenizers.PATTERN).collect()) == want
 
 
+def test_pieces_keep_the_matches_of_the_pattern():
+    letters = ["a", "B", "é", "ß", "×", "÷", "ª", "1", "23", "٣", "Σ", "e\u0301", "≠", "<\u0338", "'", "'s", "'ll", " ", "  ", "\n", "\t", "\xa0", "\u3000", "\x85", ",", ".", "(", "_", "日", "👍", "\x00", "\x7f", "½"]
+    rng = np.random.default_rng(3)
+    given = ["".join(rng.choice(letters, size=n)) for n in rng.integers(0, 25, 4000)]
+    offsets = np.cumsum([0, *(len(t.encode()) for t in given)])
+    data = "".join(given).encode()
+    begin, end, first = vocabulary.leading_pieces(np.frombuffer(data, np.uint8), offsets)
+    find = regex.compile(public_tokenizers.PATTERN).findall
+    for i, text in enumerate(given):
+        assert [m for k in range(first[i], first[i + 1]) for m in find(data[begin[k] : end[k]].decode())] == find(text)
+    for name, style in (("word_bpe_49k.json", "dropped"), ("byte_bpe_50k.json", "leading")):
+        own = vocabulary.encoder(vocabulary.public_path(name), style, "<u4")
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(given)] == [e.ids for e in own.tokenizer.encode_batch(given, add_special_tokens=False)]
+
+
 def test_bpe_merge_order_where_a_later_pair_is_lower():
     ranks = {bytes([i]): i for i in range(256)} | {b"abx": 300, b"bx": 301, b"ab": 302, b"aa": 303, b"aab": 304}
     words = [b"abx", b"abxabx", b"aaaa", b"aaab", b"aaaaabxaab", b"ababab"]
