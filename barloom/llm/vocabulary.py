@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
 from barloom.llm.hashing import _LOWER, _SPACE, BYTE_BASE, mixed, spans
 
-MEMORY = 400_000
+MEMORY = 800_000
 LONGEST = 64
 
 #: Bytes after a space before which no cut is made: white space, control
@@ -24,12 +25,37 @@ _NO_CUT[:0x21] = True
 _NO_CUT[[0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
+#: 1 for ASCII letters, 2 for digits, 3 for punctuation but the apostrophe, 0 for other bytes.
+_KIND = np.zeros(256, dtype=np.uint8)
+_KIND[0x21:0x7F] = 3
+_KIND[0x27] = 0
+_KIND[0x30:0x3A] = 2
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = 1
+
+
+def word_ends(raw: np.ndarray) -> np.ndarray:
+    """True for bytes that end a run of letters or digits before a character of another kind.
+
+    No match of the vocabularies' patterns goes on there. Letters are those of ASCII and
+    Latin-1; the character after them is one of ASCII.
+    """
+    out = np.zeros(len(raw), dtype=bool)
+    kind = _KIND[raw]
+    before = kind.copy()
+    latin = np.flatnonzero(raw == 0xC3) + 1  # second bytes; 0x97 and 0xB7 are signs
+    latin = latin[latin < len(raw)]
+    before[latin[(raw[latin] != 0x97) & (raw[latin] != 0xB7)]] = 1
+    out[:-1] = ((before[:-1] == 1) | (before[:-1] == 2)) & (kind[1:] != 0) & (before[:-1] != kind[1:])
+    return out
+
+
 def leading_pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pieces that begin at a document's start or at a space before another character."""
+    """Pieces that begin at a document's start, at a space before another character or after word_ends()."""
     cut = np.zeros(len(raw) + 1, dtype=bool)
     if len(raw) > 1:
         cut[: len(raw) - 1] = (raw[:-1] == 0x20) & ~_NO_CUT[raw[1:]]
     cut[offsets[1:][np.diff(offsets) > 0] - 1] = False  # the character after a last space is another document's
+    cut[1:] |= word_ends(raw)
     cut[offsets[:-1][np.diff(offsets) > 0]] = True
     cut[len(raw)] = True
     edges = np.flatnonzero(cut)
@@ -37,15 +63,15 @@ def leading_pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
 
 def dropped_pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pieces between ASCII white space, for vocabularies that discard it."""
-    solid = ~_SPACE[raw]
+    """Pieces between ASCII white space and word_ends(), for vocabularies that discard the space."""
+    solid, ends = ~_SPACE[raw], word_ends(raw)
     starts = solid.copy()
-    starts[1:] &= ~solid[:-1]
+    starts[1:] &= ~solid[:-1] | ends[:-1]
     inner = offsets[:-1][np.diff(offsets) > 0]
     starts[inner] = solid[inner]
     begin = np.flatnonzero(starts)
     stops = solid.copy()
-    stops[:-1] &= ~solid[1:]
+    stops[:-1] &= ~solid[1:] | ends[:-1]
     last = offsets[1:][np.diff(offsets) > 0] - 1
     stops[last] = solid[last]
     return begin, np.flatnonzero(stops) + 1, np.searchsorted(begin, offsets)
@@ -141,7 +167,10 @@ class PieceEncoder:
             out = []
             for at in range(0, len(pieces), 20_000):
                 part = [p.decode("utf-8", "surrogatepass") for p in pieces[at : at + 20_000]]
-                out += [np.array(e.ids, dtype=kind).tobytes() for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                ids = [e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                data = np.array(list(chain.from_iterable(ids)), dtype=kind).tobytes()
+                ends = np.cumsum([0, *map(len, ids)]) * kind.itemsize
+                out += [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             return out
 
         self.tokenizer = tokenizer
