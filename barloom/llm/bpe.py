@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding by DuckDB recursive queries.
 
 Words are rows of token and position. A round joins neighbouring tokens to the merge
-table and contracts, in each word, the leftmost pair of minimum rank; other places of
-the same pair are contracted in the same round unless the new token could itself
-begin or end a pair of lower rank. Rounds go on until no word has a pair.
+table and contracts, in each word, the leftmost pair of minimum rank. Rounds go on until
+no word has a pair. In words of more than SHORT bytes other places of the same pair are
+contracted in the same round unless the new token could itself begin or end a pair of
+lower rank, so that long runs take few rounds.
 """
 
 from __future__ import annotations
@@ -21,6 +22,31 @@ from barloom.llm.common import record_batch, sliced, texts_of
 from barloom.llm.vocabulary import PieceMemory, leading_pieces
 
 BATCH_BYTES = 1 << 20
+SHORT = 64
+
+#: A row's key is its word's number times SHORT plus its position. A pair's cost is its
+#: rank, its own position and the next token's, in that order.
+_SHORT_ROUNDS = """
+WITH RECURSIVE rounds(round, k, tok) AS (
+    SELECT 0, k, tok FROM byte_rows
+  UNION ALL
+    (WITH pairs AS MATERIALIZED (
+        SELECT p.round, p.k, p.tok, (g.m::BIGINT << 12) | ((p.k & 63) << 6) | (p.next & 63) AS cost
+        FROM (SELECT round, k, tok, lead(tok) OVER w AS nxt, lead(k) OVER w AS next FROM rounds WINDOW w AS (ORDER BY k)) p
+        LEFT JOIN short_merges g ON g.lr = CASE WHEN p.k >> 6 = p.next >> 6 THEN (p.tok::BIGINT << 32) | p.nxt END
+    ), bests AS (
+        SELECT k >> 6 AS word, min(cost) AS best FROM pairs WHERE cost IS NOT NULL GROUP BY k >> 6
+    )
+    SELECT round + 1, k, CASE WHEN k & 63 = (best >> 6) & 63 THEN (best >> 12)::INTEGER ELSE tok END
+    FROM pairs JOIN bests ON pairs.k >> 6 = bests.word
+    WHERE k & 63 <> best & 63)
+), last AS (
+    SELECT k >> 6 AS word, max(round) AS round FROM rounds GROUP BY k >> 6
+)
+SELECT word, string_agg(tok::VARCHAR, ',' ORDER BY k) AS ids, string_agg(hex, '' ORDER BY k) AS hex
+FROM rounds JOIN last ON last.word = rounds.k >> 6 AND last.round = rounds.round JOIN vocabulary USING (tok)
+GROUP BY word
+"""
 
 _ROUNDS = """
 WITH RECURSIVE rounds(round, word, pos, tok) AS (
@@ -86,18 +112,23 @@ class DuckBpe:
             self.con.register("given", pa.table(data))
             self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.con.unregister("given")
+        self.con.execute("CREATE TABLE short_merges AS SELECT (l::BIGINT << 32) | r AS lr, m FROM merges")
 
     def run(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
         """For each nonempty word its ids joined by commas, and the bytes of these ids."""
-        sizes = np.array([len(w) for w in words], dtype=np.int64)
-        raw = np.frombuffer(b"".join(words), dtype=np.uint8)
-        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
-        pos = (np.arange(len(raw)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-        self.con.register("byte_rows", pa.table({"word": word, "pos": pos, "tok": self.byte_ids[raw]}))
-        found = self.con.sql(_ROUNDS).to_arrow_table() if len(words) else None
-        self.con.unregister("byte_rows")
         out: list = [None] * len(words)
-        if found is not None:
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        for short in (True, False):
+            chosen = np.flatnonzero((sizes <= SHORT) == short)
+            if not len(chosen):
+                continue
+            n = sizes[chosen]
+            tok = self.byte_ids[np.frombuffer(b"".join([words[i] for i in chosen]), dtype=np.uint8)]
+            word = np.repeat(chosen, n)
+            pos = np.arange(len(tok)) - np.repeat(np.cumsum(n) - n, n)
+            self.con.register("byte_rows", pa.table({"k": word * SHORT + pos, "tok": tok} if short else {"word": word, "pos": pos, "tok": tok}))
+            found = self.con.sql(_SHORT_ROUNDS if short else _ROUNDS).to_arrow_table()
+            self.con.unregister("byte_rows")
             for i, ids, data in zip(*(found.column(c).to_pylist() for c in ("word", "ids", "hex")), strict=True):
                 out[i] = (ids.encode(), bytes.fromhex(data))
         return out

@@ -174,6 +174,7 @@ def test_pieces_keep_the_matches_of_the_pattern():
 def test_bpe_merge_order_where_a_later_pair_is_lower():
     ranks = {bytes([i]): i for i in range(256)} | {b"abx": 300, b"bx": 301, b"ab": 302, b"aa": 303, b"aab": 304}
     words = [b"abx", b"abxabx", b"aaaa", b"aaab", b"aaaaabxaab", b"ababab"]
+    words += [w * n for w in words for n in (6, 7, 11, 16, 17, 40)]
     got = bpe.DuckBpe(ranks).run(words)
     own = tiktoken.Encoding("own", pat_str=r"[a-z]+", mergeable_ranks=ranks, special_tokens={})
     assert [ids for ids, _ in got] == [",".join(map(str, own.encode_ordinary(w.decode()))).encode() for w in words]
