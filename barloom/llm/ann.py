@@ -5,7 +5,9 @@ Euclidean distance, and are rotated at random. A list stores its vectors in bloc
 of columns. For each query a scan adds up squared differences block by block; after
 each block a hypothesis test on the distance estimated from the components so far
 abandons candidates that are unlikely to beat the k-th best. Survivors get their
-exact inner product from the original vectors.
+exact inner product from the original vectors. The nearest lists give each query a
+k-th best; all other lists are scanned with it, but for those that the triangle
+inequality rules out.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ from barloom.llm.common import record_batch, stored
 FIT_SAMPLE = 20_000  # vectors that centroids are fitted on
 LIST_SIZE = 256  # distinct vectors a list is meant to have
 MOST_LISTS = 4096
-PROBES = 24
+PROBES = 24  # lists that give the k-th best with which the others are scanned
 CELL = 4096  # distinct vectors, or queries, of one task at most
+WIDE = 16_384  # the same where whole groups of lists are scanned
 COLUMNS = 16  # components in each block of columns
 EPSILON = 2.1  # the test's width
 
@@ -107,6 +110,35 @@ def adaptive_scan(queries: np.ndarray, vectors: np.ndarray, k: int, epsilon: flo
     return out
 
 
+def threshold_scan(queries: np.ndarray, vectors: np.ndarray, worst: np.ndarray, allowed: np.ndarray, epsilon: float = EPSILON) -> list[np.ndarray]:
+    """For each rotated query the allowed vectors that no test against its worst abandoned.
+
+    Worst are squared distances known before the scan. Blocks of columns are added for
+    all vectors while many are left, then for those left only.
+    """
+    dim = vectors.shape[1]
+    slack = 1e-12 * ((queries**2).sum(axis=1) + ((vectors**2).sum(axis=1).max() if len(vectors) else 0.0))
+    keep, partial, done = allowed.copy(), np.zeros(allowed.shape), 0
+
+    def limit(done: int) -> np.ndarray:
+        return worst * ((done / dim) * (1 + epsilon / np.sqrt(done)) ** 2 if done < dim else 1 + 1e-9) + slack
+
+    while done < dim and (done == 0 or keep.mean() > 0.1):
+        q, b = queries[:, done : done + COLUMNS], vectors[:, done : done + COLUMNS]
+        partial += (b * b).sum(axis=1)[None, :] - 2 * q @ b.T + (q**2).sum(axis=1)[:, None]
+        done = min(dim, done + COLUMNS)
+        keep &= partial <= limit(done)[:, None]
+    row, column = np.nonzero(keep)
+    distance = partial[row, column]
+    while done < dim and len(row):
+        difference = vectors[column, done : done + COLUMNS] - queries[row, done : done + COLUMNS]
+        distance = distance + np.einsum("ij,ij->i", difference, difference)
+        done = min(dim, done + COLUMNS)
+        good = distance <= limit(done)[row]
+        row, column, distance = row[good], column[good], distance[good]
+    return np.split(column, np.searchsorted(row, np.arange(1, len(queries))))
+
+
 def usable(vectors: DataFrame, dim: int | None = None) -> DataFrame:
     """vec_id and embedding (doubles) of the vectors that take part.
 
@@ -131,8 +163,9 @@ def inner_product_neighbours(vectors: DataFrame, k: int = 20, every: int = 20, p
     the nearest first, ties to the smaller vec_id. Equal vectors are scanned once: of
     each distinct vector the k + 1 smallest ids are enough for any result. Repeated
     rows count once. A table without usable vectors gives no rows. Each query probes at
-    least probes lists, and more until they hold k + 1 candidates; all lists in small
-    tables. Centroids come from FIT_SAMPLE vectors at most; all vectors are in the lists.
+    least probes lists, and more until they hold k + 1 candidates, and then all lists
+    that can hold a vector nearer than the k-th so far; only the test loses neighbours.
+    Centroids come from FIT_SAMPLE vectors at most; all vectors are in the lists.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
@@ -153,7 +186,7 @@ def inner_product_neighbours(vectors: DataFrame, k: int = 20, every: int = 20, p
 
     def placed(count: np.ndarray | None):
         """Homes of vectors, or with the lists' sizes the lists that queries probe."""
-        schema = pa.schema([("vid", pa.int64()), ("list", pa.list_(pa.int32()))])
+        schema = pa.schema([("vid", pa.int64()), ("list", pa.list_(pa.int32())), ("far", pa.float64())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             norm, turn, centers = sent.value
@@ -161,27 +194,31 @@ def inner_product_neighbours(vectors: DataFrame, k: int = 20, every: int = 20, p
                 if not len(batch):
                     continue
                 x = batch.column("embedding").flatten().to_numpy().reshape(len(batch), -1)
+                far = np.zeros(len(x))
                 if count is None:
-                    out = list(nearest(lifted(x, norm) @ turn, centers, 1).astype(np.int32))
+                    turned = lifted(x, norm) @ turn
+                    home = nearest(turned, centers, 1).astype(np.int32)
+                    out, far = list(home), np.sqrt(((turned - centers[home[:, 0]]) ** 2).sum(axis=1))
                 else:
                     near = nearest(np.hstack([x, np.zeros((len(x), 1))]) @ turn, centers, len(centers))
                     enough = (np.cumsum(count[near], axis=1) >= k + 1).argmax(axis=1) + 1 if count.sum() > k else np.full(len(x), len(centers))
                     out = [r[: max(probes, e)] for r, e in zip(near.astype(np.int32), enough, strict=True)]
-                yield record_batch(schema, [batch.column("vid"), pa.array(out, pa.list_(pa.int32()))])
+                yield record_batch(schema, [batch.column("vid"), pa.array(out, pa.list_(pa.int32())), pa.array(far)])
 
         return run
 
-    ddl = "vid long, list array<int>"
-    homes = stored(base.select("vid", "embedding").mapInArrow(placed(None), ddl).select("vid", F.col("list")[0].alias("list")), "homes")
-    sizes = homes.join(base.select("vid", F.size("ids").alias("many")), "vid").groupBy("list").agg(F.count("*").alias("n"), F.sum("many").alias("many")).collect()
+    ddl = "vid long, list array<int>, far double"
+    homes = stored(base.select("vid", "embedding").mapInArrow(placed(None), ddl).select("vid", F.col("list")[0].alias("list"), "far"), "homes")
+    sizes = homes.join(base.select("vid", F.size("ids").alias("many")), "vid").groupBy("list").agg(F.count("*").alias("n"), F.sum("many").alias("many"), F.max("far").alias("far")).collect()
     held = np.zeros(lists, dtype=np.int64)
+    radius = np.full(lists, -np.inf)  # of lists without vectors
     for r in sizes:
-        held[r.list] = r.many
+        held[r.list], radius[r.list] = r.many, r.far
     cells = spark.createDataFrame([(r.list, -(-r.n // CELL)) for r in sizes], "list int, cells int")
     asked = rows.filter(F.col("vec_id") % every == 0)
     seekers = stored(asked.select("embedding").distinct().withColumn("vid", F.monotonically_increasing_id()), "queries")
-    probed = seekers.select("vid", "embedding").mapInArrow(placed(held), ddl)
-    probed = stored(probed.select("vid", F.explode("list").alias("list")), "probes")
+    probes_of = stored(seekers.select("vid", "embedding").mapInArrow(placed(held), ddl).select("vid", "list"), "probes")
+    probed = probes_of.select("vid", F.explode("list").alias("list"))
     many = probed.groupBy("list").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
     grid = F.broadcast(cells.join(many, "list"))  # at most MOST_LISTS rows
     stock = homes.join(grid, "list").join(base, "vid").select("list", F.pmod(F.xxhash64("vid"), F.col("cells")).cast("int").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("query"), "embedding", "ids")
@@ -210,9 +247,99 @@ def inner_product_neighbours(vectors: DataFrame, k: int = 20, every: int = 20, p
                     out[2].extend(-s for s, _ in best)
         return pa.table([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
+    def foremost(found: DataFrame) -> DataFrame:
+        return found.withColumn("nth", F.expr("row_number() over (partition by query order by score desc, vec_id)")).filter(F.col("nth") <= k + 1)
+
     found = stock.unionByName(asks).groupBy("list", "cell", "part").applyInArrow(scan, "query long, vec_id long, score double")
-    top = found.withColumn("nth", F.expr("row_number() over (partition by query order by score desc, vec_id)")).filter(F.col("nth") <= k + 1)
+    top = stored(foremost(found).drop("nth"), "near")
+    if lists > probes:
+        bound = top.groupBy("query").agg(F.when(F.count("*") > k, F.min("score")).alias("least"))
+        rest = seekers.join(probes_of, "vid").join(bound, F.col("vid") == F.col("query"), "left").select("vid", "embedding", "list", "least")
+        top = foremost(top.unionByName(_rest_scanned(rest, homes, base, sent, sizes, radius, k)))
+    else:
+        top = foremost(top)
     best = top.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("nth", "vec_id", "score"))).alias("best"))
     named = asked.join(seekers, "embedding").select(F.col("vec_id").alias("query_id"), F.col("vid").alias("query")).distinct()
     own = named.join(best, "query").select("query_id", F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, k).alias("best"))
     return own.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
+
+
+def _rest_scanned(rest: DataFrame, homes: DataFrame, base: DataFrame, sent, sizes: list, radius: np.ndarray, k: int) -> DataFrame:
+    """query, vec_id and score of what the lists that rest's queries have not probed hold.
+
+    rest has each query's vid, embedding, probed lists and the least score that can
+    still matter, null where any can. Lists go to tasks in groups; a query is sent once
+    to each group that holds a list it needs.
+    """
+    spark = rest.sparkSession
+    total = sum(r.n for r in sizes)
+    wide = int(min(WIDE, max(1024, total // 16)))
+    group_of, cells, full = np.full(len(radius), -1), [], wide
+    for r in sorted(sizes, key=lambda r: r.list):
+        if full + r.n > wide:
+            cells, full = [*cells, 0], 0
+        group_of[r.list], full = len(cells) - 1, full + r.n
+        cells[-1] = max(1, -(-full // wide))
+    schema = pa.schema([("vid", pa.int64()), ("group", pa.int32()), ("lists", pa.list_(pa.int32())), ("worst", pa.float64())])
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        norm, turn, centers = sent.value
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = batch.column("embedding").flatten().to_numpy().reshape(len(batch), -1)
+            size = (x * x).sum(axis=1)
+            least = batch.column("least").to_numpy(zero_copy_only=False).astype(np.float64)
+            worst = np.where(np.isnan(least), np.inf, np.maximum(norm * norm + size - 2 * least, 0))
+            turned = np.hstack([x, np.zeros((len(x), 1))]) @ turn
+            away = np.sqrt(np.maximum((turned**2).sum(axis=1)[:, None] - 2 * turned @ centers.T + (centers**2).sum(axis=1), 0))
+            want = away - radius <= (np.sqrt(worst) + 1e-6 * np.sqrt(norm * norm + size))[:, None]
+            want &= np.isfinite(radius)
+            out = ([], [], [], [])
+            for i, (vid, probed) in enumerate(zip(batch.column("vid").to_pylist(), batch.column("list").to_pylist(), strict=True)):
+                want[i, probed] = False
+                lists = np.flatnonzero(want[i])
+                groups, starts = np.unique(group_of[lists], return_index=True)
+                out[0].extend([vid] * len(groups))
+                out[1].extend(groups.tolist())
+                out[2].extend(part.astype(np.int32) for part in (np.split(lists, starts[1:]) if len(lists) else []))
+                out[3].extend([float(worst[i])] * len(groups))
+            yield record_batch(schema, [pa.array(c, f.type) for c, f in zip(out, schema, strict=True)])
+
+    asks = stored(rest.mapInArrow(needed, "vid long, group int, lists array<int>, worst double"), "rest")
+    many = asks.groupBy("group").agg(F.ceil(F.count("*") / WIDE).cast("int").alias("parts"))
+    places = spark.createDataFrame([(int(g), int(c)) for g, c in enumerate(cells)], "group int, cells int")
+    grid = F.broadcast(places.join(many, "group"))
+    lists = F.broadcast(spark.createDataFrame([(r.list, int(group_of[r.list])) for r in sizes], "list int, group int"))
+    none = F.lit(None)
+    stock = homes.join(lists, "list").join(grid, "group").join(base, "vid").select("group", F.pmod(F.xxhash64("vid"), F.col("cells")).cast("int").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), none.cast("long").alias("query"), none.cast("double").alias("worst"), F.array("list").alias("lists"), "embedding", "ids")
+    sought = asks.join(grid, "group").join(rest.select("vid", "embedding"), "vid").select("group", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int").alias("part"), F.col("vid").alias("query"), "worst", "lists", "embedding", F.array().cast("array<long>").alias("ids"))
+    result = pa.schema([("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def scan(group: pa.Table) -> pa.Table:
+        norm, turn, centers = sent.value
+        is_query = group.column("query").is_valid().to_numpy()
+        x = group.column("embedding").combine_chunks().flatten().to_numpy().reshape(len(is_query), -1)
+        out = ([], [], [])
+        asking, held = group.filter(pa.array(is_query)), group.filter(pa.array(~is_query))
+        if len(asking) and len(held):
+            queries, stock = x[is_query], x[~is_query]
+            ids = held.column("ids").to_pylist()
+            home = held.column("lists").combine_chunks().flatten().to_numpy()
+            names, worst, lists = asking.column("query").to_pylist(), asking.column("worst").to_numpy(), asking.column("lists").to_pylist()
+            turned = lifted(stock, norm) @ turn
+            for at in range(0, len(queries), 128):
+                part = queries[at : at + 128]
+                open_lists = np.zeros((len(part), len(centers)), dtype=bool)
+                for i, own in enumerate(lists[at : at + 128]):
+                    open_lists[i, own] = True
+                left = threshold_scan(np.hstack([part, np.zeros((len(part), 1))]) @ turn, turned, worst[at : at + 128], open_lists[:, home])
+                for name, q, found in zip(names[at : at + 128], part, left, strict=True):
+                    scores = [float(np.dot(stock[j], q)) for j in found]
+                    best = sorted((-s, i) for s, j in zip(scores, found, strict=True) for i in ids[j])[: k + 1]
+                    out[0].extend([name] * len(best))
+                    out[1].extend(i for _, i in best)
+                    out[2].extend(-s for s, _ in best)
+        return pa.table([pa.array(c, f.type) for c, f in zip(out, result, strict=True)], schema=result)
+
+    return stock.unionByName(sought).groupBy("group", "cell", "part").applyInArrow(scan, "query long, vec_id long, score double")

@@ -34,6 +34,27 @@ def test_neighbours_recall(spark):
         assert hit >= 0.95 * 20 * len(want)
 
 
+def test_neighbours_recall_with_many_more_lists_than_probes(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    want = brute([(r.vec_id, r.embedding) for r in df.collect()], 20)
+    got = {}
+    for r in ann.inner_product_neighbours(df, probes=3, list_size=16).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert all(len(g) == 20 for g in got.values())
+    assert sum(len(set(want[q]) & got[q]) for q in want) >= 0.95 * 20 * len(want)
+
+
+def test_threshold_scan_keeps_all_within_the_threshold():
+    rng = np.random.default_rng(3)
+    x, q = rng.standard_normal((3000, 65)), rng.standard_normal((40, 65))
+    d = ((q[:, None, :] - x[None]) ** 2).sum(axis=2)
+    worst, allowed = np.partition(d, 20, axis=1)[:, 20], rng.random(d.shape) < 0.7
+    left = ann.threshold_scan(q, x, worst, allowed)
+    true = [set(np.flatnonzero(row & ok)) for row, ok in zip(d <= worst[:, None], allowed, strict=True)]
+    assert all(set(a) <= t for a, t in zip(left, true, strict=True))
+    assert sum(map(len, left)) >= 0.95 * sum(map(len, true))
+
+
 def test_neighbours_odd_rows(spark):
     rows = [(i, [1.0, float(i % 3), 0.5]) for i in range(60)] + [(60, None), (61, [0.0, 0.0, 0.0]), (62, [1.0, None, 2.0]), (63, [float("nan"), 1.0, 1.0]), (64, [1.0, float("inf"), 0.0]), (65, []), (None, [1.0, 1.0, 1.0]), (66, [1.0, 2.0]), (7, [1.0, 1.0, 0.5]), (80, [0.0, 0.0, 0.0])]
     df = spark.createDataFrame([(a, b, 0, 1.0) for a, b in rows], "vec_id long, embedding array<float>, ids int, score double")
