@@ -18,6 +18,7 @@ from barloom.llm.common import dropped, stored
 
 KEY = "barloom"
 MOST_LITERAL = 1000  # redrawn atoms that a query may hold as a literal map
+STREAM = 160  # bytes of a stream; longer atoms get one for each piece of that length
 
 _MALE = "Mr|Herr|Monsieur|Señor|Sr|Господин|г-н"
 _FEMALE = "Mrs|Ms|Miss|Frau|Mme|Madame|Señora|Sra|Госпожа|г-жа"
@@ -25,8 +26,8 @@ _NAME = r"\p{Lu}[\p{L}'’]+(?:-\p{Lu}[\p{L}'’]+)?"
 _SECRET = r"(?i:api[_-]?key|access[_-]?key|token|secret|password|passwd)\s{0,3}[=:]\s{0,3}[\"']?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _KINDS = {
-    "secret": rf"(?<![\p{{L}}\p{{N}}]){_SECRET}[A-Za-z0-9_/+-]{{16,128}}",
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@(?:[A-Za-z0-9][A-Za-z0-9-]{0,40}\.){1,4}[A-Za-z]{2,12}(?![A-Za-z0-9])",
+    "secret": rf"(?<![\p{{L}}\p{{N}}]){_SECRET}[A-Za-z0-9_/+-]{{16,}}+(?:[A-Za-z0-9_/+.=-]*[A-Za-z0-9_/+-])?+={{0,2}}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@(?:[A-Za-z0-9][A-Za-z0-9-]{0,62}\.){1,126}[A-Za-z]{2,63}(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "phone": r"(?<![\p{L}\p{N}+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d)])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -94,18 +95,25 @@ def _stream(key: str, kind: str, canon: str, attempt: str) -> str:
 
 
 def _byte(st: str, i: str) -> str:
-    return f"cast(conv(substr({st}, 2 * (({i}) % 160) + 1, 2), 16, 10) as int)"
+    return f"cast(conv(substr({st}, 2 * (({i}) % {STREAM}) + 1, 2), 16, 10) as int)"
 
 
 def _mapped(text: str, st: str) -> str:
-    """Each letter becomes one of its script and case, each digit a digit."""
-    b = _byte(st, "i")
+    """Each letter becomes one of its script and case, each digit a digit.
+
+    The first STREAM characters take their bytes from st, each further piece of that
+    length from a stream of its own, derived from st and the piece's number.
+    """
+    b = _byte("own", "i")
     latin, hexa, russian = (f"substr('{a}', {b} % {len(a)} + 1, 1)" for a in ("abcdefghijklmnopqrstuvwxyz", "abcdef", "абвгдежзиклмнопрстуфхцчшыэюя"))
     small = f"CASE WHEN hexed THEN {hexa} WHEN lower(c) rlike '^[а-яё]$' THEN {russian} ELSE {latin} END"
     each = f"""CASE WHEN c rlike '^[0-9]$' THEN cast({b} % 10 as string)
         WHEN c rlike '^\\\\p{{Lu}}$' THEN upper({small}) WHEN c rlike '^\\\\p{{L}}$' THEN {small} ELSE c END"""
     inner = f"array_join(transform(sequence(1, length(t)), i -> {_let('c', 'substr(t, i, 1)', each)}), '')"
-    return _let("t", text, _let("hexed", "t rlike '^([0-9a-f]{16,}|[0-9A-F]{16,})$'", inner))
+    further = f"concat({', '.join(f"sha2(concat_ws('|', {st}, p, '{n}'), 256)" for n in range(5))})"
+    piece = _let("own", f"CASE WHEN p = 0 THEN {st} ELSE {further} END", inner)
+    pieces = f"array_join(transform(regexp_extract_all(whole, '(?s).{{1,{STREAM}}}', 0), (t, p) -> {piece}), '')"
+    return _let("whole", text, _let("hexed", "whole rlike '^([0-9a-f]{16,}|[0-9A-F]{16,})$'", pieces))
 
 
 def _syllables(st: str, n: int, at: int, cyrillic: str) -> str:

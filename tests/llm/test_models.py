@@ -137,6 +137,28 @@ def test_surrogates(spark, odd, nothing):
     assert pii.surrogate_report(nothing).count() == 0
 
 
+def test_surrogates_replace_whole_tokens(spark):
+    rng = np.random.default_rng(5)
+    alphabet = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"))
+    draw = lambda n: "".join(rng.choice(alphabet, n - 1)) + "x"
+    long, jwt, padded, many = draw(1000), f"{draw(36)}.{draw(300)}.{draw(43)}", draw(42) + "==", draw(20) + ".ab" * 5000
+    label = "a" * 63
+    mail = f"bob@{label}.{'b' * 50}.one.two.three.four.photography"
+    tokens = [long, jwt, padded, many, "A" * 1000]
+    rows = [(i, f"token = {t}. Then") for i, t in enumerate(tokens)] + [(9, f"from {mail}.")]
+    out = {r.doc_id: r for r in pii.surrogate_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, old in enumerate(tokens):
+        new = re.fullmatch(r"token = (.*)\. Then", out[i].text)[1]
+        assert len(new) == len(old) and out[i].n_entities == 1
+        assert all((a == b) if b in "._-=" else a.isdigit() == b.isdigit() and a.isupper() == b.isupper() for a, b in zip(new, old, strict=True))
+        pieces = re.findall(r"[A-Za-z0-9]{8}", old)
+        assert i == 4 or not any(p in new for p in pieces)
+    repeated = out[4].text[8:-6]
+    assert len({repeated[k : k + 20] for k in range(len(repeated) - 20)}) == len(repeated) - 20
+    new = re.fullmatch(r"from (.*)\.", out[9].text)[1]
+    assert len(new) == len(mail) and new.endswith(".photography") and not {label, "b" * 50, "three"} & set(re.split("[.@]", new))
+
+
 def test_surrogates_are_distinct(spark):
     """Short atoms collide at first; the checks draw again, by literal and by join."""
     rows = [(i, f"Ms Ab{chr(97 + i % 26)}{chr(97 + i // 26)} wrote {chr(97 + i % 26)}{i // 26}@a.de from 10.0.0.{i + 1}") for i in range(250)]
