@@ -16,14 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import is_held_out, record_batch, texts_of
+from barloom.llm.common import dropped, is_held_out, record_batch, stored, texts_of
 from barloom.llm.hashing import mixed
 from barloom.llm.toxicity import fit_logistic
 
 FIT_DOCUMENTS = 12_000  # labelled documents that the views are fitted on
-POOL_DOCUMENTS = 12_000  # unlabelled documents that get pseudo-labels
+POOL_DOCUMENTS = 12_000  # unlabelled documents whose share ADDED bounds what a round adds
 ROUNDS = 5
-ADDED = 0.05  # share of the pool that a view labels in a round
+ADDED = 0.05  # share of the unlabelled documents that a view labels in a round
+SURE = 0.9  # likelihood that a pseudo-label needs
 METADATA_SLOTS = 64
 
 _KINDS = {"upper": bytes(range(65, 91)), "lower": bytes(range(97, 123)), "digit": b"0123456789", "symbol": b"#$%&*+<=>@^_~\\{}[]", "bar": b"|", "shout": b"!?", "stop": b".,;:'\"()-/", "space": b" \t", "line": b"\n\r"}
@@ -81,15 +82,115 @@ class CoTrained:
         return _apply(self.combination, np.stack(columns, axis=1))
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS, added: float = ADDED) -> CoTrained:
-    """Fit on labelled views, y in 0 and 1; a fifth of the labelled rows calibrates."""
-    scale, both, free = [], [], []
-    for x, u in zip(views, pool, strict=True):
-        every = np.vstack([x, u])
-        mean, spread = every.mean(axis=0), np.maximum(every.std(axis=0), 1e-3)
+class Pool:
+    """Unlabelled documents in memory."""
+
+    def __init__(self, views: list[np.ndarray]):
+        self.views = views
+        self.n = len(views[0])
+        self.waiting = np.ones(self.n, dtype=bool)
+
+    def moments(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Sums and sums of squares of each view's features."""
+        return [(u.sum(axis=0), (u * u).sum(axis=0)) for u in self.views]
+
+    def surest(self, models: list[np.ndarray], scale: list[tuple[np.ndarray, np.ndarray]], takes: tuple[int, int]) -> list[tuple[list[np.ndarray], list[int]]]:
+        """For each view the documents it newly labels (features of both views) and their labels."""
+        out = []
+        for v in (0, 1):
+            p = _apply(models[v], (self.views[v] - scale[v][0]) / scale[v][1])
+            rows, labels = [], []
+            for label, take, sure in ((1, takes[0], p), (0, takes[1], 1 - p)):
+                order = np.flatnonzero(self.waiting & (sure > SURE))
+                order = order[np.argsort(-sure[order], kind="stable")][:take]
+                self.waiting[order] = False
+                rows.extend(order.tolist())
+                labels.extend([label] * len(order))
+            out.append(([u[rows] for u in self.views], labels))
+        return out
+
+
+class StoredPool:
+    """Unlabelled documents' features in a stored table (row, id, v0, v1), all scored in Spark each round."""
+
+    def __init__(self, features: DataFrame):
+        self.features = features
+        self.spark = features.sparkSession
+        self.labelled: set[int] = set()  # rows that have a pseudo-label
+        schema = pa.schema([("n", pa.int64()), *((f"{x}{v}", pa.list_(pa.float64())) for v in (0, 1) for x in ("s", "q"))])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if len(batch):
+                    sums = [y for u in _matrices(batch) for y in (u.sum(axis=0), (u * u).sum(axis=0))]
+                    yield record_batch(schema, [[len(batch)], *([y] for y in sums)])
+
+        parts = features.select("v0", "v1").mapInArrow(run, "n long, s0 array<double>, q0 array<double>, s1 array<double>, q1 array<double>")
+        width = (len(text_features("")), METADATA_SLOTS + 8)
+        sums = [F.array(*(F.sum(F.col(f"{x}{v}")[i]) for i in range(width[v]))).alias(f"{x}{v}") for v in (0, 1) for x in ("s", "q")]
+        total = parts.agg(F.sum("n").alias("n"), *sums).first()
+        self.n = total.n or 0
+        self.sums = [tuple(np.array(total[f"{x}{v}"] if self.n else [0.0] * width[v]) for x in ("s", "q")) for v in (0, 1)]
+
+    def moments(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return self.sums
+
+    def surest(self, models: list[np.ndarray], scale: list[tuple[np.ndarray, np.ndarray]], takes: tuple[int, int]) -> list[tuple[list[np.ndarray], list[int]]]:
+        sent = self.spark.sparkContext.broadcast((models, scale, np.array(sorted(self.labelled), dtype=np.int64)))
+        most = 2 * sum(takes)  # what one view takes may be what the other one wanted
+        schema = pa.schema([("view", pa.int32()), ("label", pa.int32()), ("sure", pa.float64()), ("id", pa.int64()), ("row", pa.int64())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            models, scale, done = sent.value
+            for batch in batches:
+                if not len(batch):
+                    continue
+                row, ids = batch.column("row").to_numpy(), batch.column("id").to_numpy()
+                waiting = ~np.isin(row, done)
+                for v, u in enumerate(_matrices(batch)):
+                    p = _apply(models[v], (u - scale[v][0]) / scale[v][1])
+                    for label, sure in ((1, p), (0, 1 - p)):
+                        order = np.flatnonzero(waiting & (sure > SURE))
+                        order = order[np.lexsort((row[order], ids[order], -sure[order]))][:most]
+                        if len(order):
+                            n = len(order)
+                            yield record_batch(schema, [np.full(n, v), np.full(n, label), sure[order], ids[order], row[order]])
+
+        found = self.features.mapInArrow(run, "view int, label int, sure double, id long, row long")
+        found = found.withColumn("nth", F.expr("row_number() over (partition by view, label order by sure desc, id, row)")).filter(F.col("nth") <= most)
+        ranked = found.orderBy("view", F.desc("label"), "nth").collect()
+        chosen: list[list[tuple[int, int]]] = [[], []]
+        for v in (0, 1):
+            for label, take in ((1, takes[0]), (0, takes[1])):
+                rows = [r.row for r in ranked if r.view == v and r.label == label and r.row not in self.labelled][:take]
+                self.labelled.update(rows)
+                chosen[v].extend((r, label) for r in rows)
+        rows = [r for c in chosen for r, _ in c]
+        if not rows:
+            return [([], [])] * 2
+        wanted = F.broadcast(self.spark.createDataFrame([(r,) for r in rows], "row long"))
+        features = {r.row: (np.array(r.v0), np.array(r.v1)) for r in self.features.join(wanted, "row").select("row", "v0", "v1").collect()}
+        return [([np.array([features[r][u] for r, _ in c]) for u in (0, 1)] if c else [], [label for _, label in c]) for c in chosen]
+
+
+def _matrices(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [batch.column(c).flatten().to_numpy().reshape(len(batch), -1) for c in ("v0", "v1")]
+
+
+def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray] | Pool | StoredPool, rounds: int = ROUNDS, added: float = ADDED, most: int | None = None) -> CoTrained:
+    """Fit on labelled views, y in 0 and 1; a fifth of the labelled rows calibrates.
+
+    All of the pool give the scaling and are scored in each round. A view labels the share
+    added of the pool in a round, or of most documents where the pool is larger.
+    """
+    pool = Pool(pool) if isinstance(pool, list) else pool
+    scale, both = [], []
+    for x, (sums, squares) in zip(views, pool.moments(), strict=True):
+        n = max(1, len(x) + pool.n)
+        mean = (x.sum(axis=0) + sums) / n
+        spread = np.maximum(np.sqrt(np.maximum(((x * x).sum(axis=0) + squares) / n - mean * mean, 0)), 1e-3)
         scale.append((mean, spread))
         both.append((x - mean) / spread)
-        free.append((u - mean) / spread)
     last = np.arange(len(y)) % 5 == 4
     if len(set(y[~last])) < 2 or len(set(y[last])) < 2:
         last = np.zeros(len(y), dtype=bool)
@@ -100,25 +201,21 @@ def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rou
         width = [x.shape[1] for x in views]
         constant = np.array([_logit(np.array([base]))[0], 0.0, 0.0])
         return CoTrained(scale, [np.zeros(w + 1) for w in width], [np.zeros(2)] * 2, constant)
-    gained: list[tuple[list[int], list[int]]] = [([], []), ([], [])]  # pseudo-labelled rows of the pool for each view
-    waiting = np.ones(len(pool[0]), dtype=bool)
+    gained: list[tuple[list[np.ndarray], list[int]]] = [([], []), ([], [])]  # pseudo-labelled documents for each view
 
     def train(v: int) -> np.ndarray:
         rows, labels = gained[v]
-        x = np.vstack([both[v][fit], free[v][rows]])
+        x = np.vstack([both[v][fit], *rows])
         return fit_logistic(x, np.concatenate([y[fit], np.array(labels, dtype=np.int64)]), ridge=1.0)
 
     models = [train(0), train(1)]
+    take = int(added * (pool.n if most is None else min(pool.n, most)))
     for _ in range(rounds):
-        for v in (0, 1):
-            p = _apply(models[v], free[v])
-            take = int(added * len(p))
-            for label, share, sure in ((1, base, p), (0, 1 - base, 1 - p)):
-                order = np.flatnonzero(waiting & (sure > 0.9))
-                order = order[np.argsort(-sure[order], kind="stable")][: int(take * share)]
-                waiting[order] = False
-                gained[1 - v][0].extend(order.tolist())
-                gained[1 - v][1].extend([label] * len(order))
+        for v, (found, labels) in enumerate(pool.surest(models, scale, (int(take * base), int(take * (1 - base))))):
+            if labels:
+                mean, spread = scale[1 - v]
+                gained[1 - v][0].append((found[1 - v] - mean) / spread)
+                gained[1 - v][1].extend(labels)
         models = [train(0), train(1)]
     calibrations, columns = [], []
     for v in (0, 1):
@@ -137,21 +234,38 @@ _META = ("lang", "source", "n_chars")
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS, pool: int = POOL_DOCUMENTS) -> CoTrained:
-    """Fit on bounded samples chosen by a hash of doc_id; held-out labels are not used."""
+    """Fit on a bounded sample of the labels, chosen by a hash of doc_id, and all unlabelled documents.
+
+    Held-out labels are not used. pool bounds only how many documents a round adds.
+    """
     known = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").cast("int").alias("q"))
     known = known.filter(~is_held_out(F.col("id"))).orderBy(F.xxhash64("id")).limit(most)
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text", *(F.col(c) for c in _META))
-    labelled = rows.join(F.broadcast(known), "id").toPandas().sort_values(["id", "text"])
-    free = rows.join(labels.select(F.col("doc_id").cast("long").alias("id")), "id", "left_anti").filter("id is not null")
-    free = free.select("id", *_META).orderBy(F.xxhash64("id")).limit(pool)  # texts of the sample only
-    free = rows.select("id", "text").join(F.broadcast(free), "id").toPandas().sort_values(["id", "text"])
-
-    def views(t) -> list[np.ndarray]:
-        meta = [(None if x is None else str(x), None if s is None else str(s), None if n != n or n is None else int(n)) for x, s, n in zip(t["lang"], t["source"], t["n_chars"], strict=True)]
-        out = _views([x or "" for x in t["text"]], meta)
-        return out if len(meta) else [np.zeros((0, len(text_features("")))), np.zeros((0, METADATA_SLOTS + 8))]
-
-    return co_train(views(labelled), labelled["q"].clip(0, 1).to_numpy(dtype=np.int64), views(free))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
+    labelled = rows.join(F.broadcast(known), "id").mapInArrow(_featured(["id", "q"]), "id long, q int, v0 array<double>, v1 array<double>").toPandas()
+    labelled = labelled.assign(key=[tuple(x) for x in labelled["v0"]]).sort_values(["id", "key"])
+    free = rows.filter("id is not null").mapInArrow(_featured(["id"]), "id long, v0 array<double>, v1 array<double>")  # texts do not go to the join
+    free = free.join(labels.select(F.col("doc_id").cast("long").alias("id")), "id", "left_anti")
+    free = stored(free.withColumn("row", F.monotonically_increasing_id()), "features")
+
+    width = (len(text_features("")), METADATA_SLOTS + 8)
+    views = [np.vstack([np.zeros((0, w)), *labelled[c]]) for c, w in zip(("v0", "v1"), width, strict=True)]
+    model = co_train(views, labelled["q"].clip(0, 1).to_numpy(dtype=np.int64), StoredPool(free), most=pool)
+    dropped(docs.sparkSession, free)
+    return model
+
+
+def _featured(columns: list[str]):
+    """Some columns and the features of both views."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.float64())
+        for batch in batches:
+            if len(batch):
+                meta = list(zip(*(batch.column(c).to_pylist() for c in _META), strict=True))
+                own = [batch.column(c) for c in columns]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(list(u), kind) for u in _views(texts_of(batch), meta))], names=[*columns, "v0", "v1"])
+
+    return run
 
 
 def _scorer(model: CoTrained, batch: pa.RecordBatch) -> np.ndarray:

@@ -1,6 +1,7 @@
 """Search, classifiers, surrogates, and the pipeline."""
 
 import re
+import zlib
 
 import numpy as np
 
@@ -108,6 +109,25 @@ def test_quality(spark, odd, nothing):
     assert quality.fit(docs, labels.limit(0)).scores([np.zeros((1, len(quality.text_features("")))), np.zeros((1, quality.METADATA_SLOTS + 8))])[0] > 0.9
 
 
+def test_quality_pool_is_the_whole_table(spark):
+    """Sources outside any sample reach scaling and rounds; the stored pool picks what one in memory does."""
+    rows = [(i, "good calm words here " * 9 + str(i % 7) if i % 2 else "!!! $$ BUY ### " * 9 + str(i % 5), "en", "a" if i % 2 else "b", 200) for i in range(600)]
+    rows += [(i, "good calm words here " * 7 + str(i % 9), "xx", "rare", 150) for i in range(600, 640)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, pool=8)
+    known = [i for i in range(120) if not zlib.crc32(str(i).encode()) % 4 == 2]
+    used = [r for r in rows if r[0] in known or r[0] >= 120]
+    every = quality._views([r[1] for r in used], [r[2:] for r in used])
+    for (mean, spread), x in zip(model.scale, every, strict=True):
+        assert np.allclose(mean, x.mean(axis=0)) and np.allclose(spread, np.maximum(x.std(axis=0), 1e-3), atol=1e-6)
+    whole = quality.fit(docs, labels)
+    pick = lambda rs: quality._views([r[1] for r in rs], [r[2:] for r in rs])
+    fitted = [r for r in rows if r[0] in known]
+    memory = quality.co_train(pick(fitted), np.array([r[0] % 2 for r in fitted]), pick(rows[120:]))
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(whole.models, memory.models, strict=True))
+
+
 def luhn(digits):
     return sum(int(c) * (1 + i % 2) - 9 * (int(c) * (1 + i % 2) > 9) for i, c in enumerate(reversed(digits))) % 10 == 0
 
