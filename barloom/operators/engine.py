@@ -16,7 +16,8 @@ from barloom.plans.syntax import Index, Query, Series, parse
 from barloom.sources.catalog import EMPTY_HASH, Catalog
 
 LOWEST = -(1 << 63)
-MOST_BROADCAST = 1_000_000  # timestamps of a page, of 8 bytes each
+MOST_BROADCAST = 1_000_000  # timestamps of a page, or bars of a benchmark, of about 32 bytes each
+MOST_COINS = 10_000  # coins of a request whose assets are broadcast
 SCHEMA = "coin string, indicator string, timestamp_start long, timestamp_end long, value {}, version long, warmup_complete boolean"
 
 
@@ -24,12 +25,12 @@ SCHEMA = "coin string, indicator string, timestamp_start long, timestamp_end lon
 class Request:
     """What to compute, for which assets, and which page of it.
 
-    limit counts distinct timestamps; None returns all. object_types and scalar_types
+    assets None takes all of the catalog. limit counts distinct timestamps; None returns all. object_types and scalar_types
     are added to the catalog's.
     """
 
     expr: str
-    assets: list[str]
+    assets: list[str] | None
     params: dict = field(default_factory=dict)
     reporting_period: str | None = None
     after_ts: int = -1
@@ -54,7 +55,7 @@ def plan(request: Request, catalog: Catalog | None = None) -> Plan:
     def fail(message: str, pos: int | None = None):
         raise QueryError("compile_error", message, request.expr, pos)
 
-    if not request.assets:
+    if request.assets is not None and not request.assets:
         fail("assets must be non-empty")
     if request.limit is not None and request.limit < 1:
         fail("limit must be >= 1")
@@ -114,11 +115,17 @@ def page(rows: DataFrame, request: Request) -> DataFrame:
     return rows.join(F.broadcast(first) if request.limit <= MOST_BROADCAST else first, "timestamp_start", "left_semi")
 
 
-def _facts(facts: DataFrame, catalog: Catalog, a: Analysis, coins: list[str], data_type: str) -> DataFrame:
+def _named(catalog: Catalog, coins: list[str] | None) -> DataFrame:
+    """asset and coin of the coins asked for, broadcast where they are few."""
+    named = catalog.assets if coins is None else catalog.assets.filter(F.col("canonical_ticker").isin(coins))
+    named = named.select(F.col("id").alias("asset"), F.col("canonical_ticker").alias("coin"))
+    return F.broadcast(named) if coins is not None and len(coins) <= MOST_COINS else named
+
+
+def _facts(facts: DataFrame, catalog: Catalog, a: Analysis, coins: list[str] | None, data_type: str) -> DataFrame:
     """Rows of one series with their coin; the coins asked for bound the broadcast."""
-    named = catalog.assets.filter(F.col("canonical_ticker").isin(coins)).select(F.col("id").alias("asset"), F.col("canonical_ticker").alias("coin"))
     rows = facts.filter((F.col("data_type") == data_type) & (F.col("reporting_period") == a.period) & (F.col("params_hash") == a.params_hash))
-    return rows.join(F.broadcast(named) if len(coins) <= 10_000 else named, "asset")
+    return rows.join(_named(catalog, coins), "asset")
 
 
 def _bounds(rows: DataFrame, a: Analysis, padding: int) -> tuple[int, int] | None:

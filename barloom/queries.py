@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from barloom.functions.intervals import INTERVALS, params_hash
 from barloom.operators.engine import Request, execute
-from barloom.sources.catalog import Catalog, bars, catalog_of_bars
+from barloom.sources.catalog import Catalog, bars, catalog_of_bars, utc_micros
 
-COINS = ["click", "error", "purchase", "signup", "view"]
 HOUR = 3_600_000
 START = 1_704_067_200_000  # 2024-01-01
 PARAMS = {"from": START + 100 * HOUR, "to": START + 400 * HOUR, "end": START + 500 * HOUR, "period": 14, "n": 24, "bench": "view", "bars_per_year": 8760.0, "scale": 1000.5}
@@ -20,7 +19,8 @@ PARAMS = {"from": START + 100 * HOUR, "to": START + 400 * HOUR, "end": START + 5
 
 def event_bars(spark: SparkSession, sf_dir: str, period: str = "1h") -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "event_id", "event_type", "value")
-    return bars(events, period, "event_type", F.unix_millis(F.col("ts").cast("timestamp")), "value", "event_id")
+    without_zone = dict(events.dtypes)["ts"] == "timestamp_ntz"
+    return bars(events, period, "event_type", utc_micros(F.col("ts"), without_zone), "value", "event_id")
 
 
 def event_catalog(spark: SparkSession, sf_dir: str, period: str = "1h") -> Catalog:
@@ -33,12 +33,14 @@ def event_catalog(spark: SparkSession, sf_dir: str, period: str = "1h") -> Catal
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return df.withColumn("value", F.round(F.col("value").cast("double"), 6))
+    """Values to six places, without those that are no number."""
+    value = F.col("value").cast("double")
+    return df.filter(~F.isnan(value)).withColumn("value", F.round(value, 6))
 
 
 def query(expr: str, period: str = "1h", **more) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        request = Request(expr, more.get("assets", COINS), PARAMS, limit=more.get("limit"), after_ts=more.get("after_ts", -1), publish_from=more.get("publish_from"))
+        request = Request(expr, more.get("assets"), PARAMS, limit=more.get("limit"), after_ts=more.get("after_ts", -1), publish_from=more.get("publish_from"))
         return rounded(execute(event_catalog(spark, sf_dir, period), request))
 
     return run
@@ -169,7 +171,7 @@ ALL: dict[str, tuple[Callable, str]] = {
 
 def object_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole objects; the text's numbers are compared."""
-    rows = execute(event_catalog(spark, sf_dir), Request("[ohlc.1h]", COINS, PARAMS, limit=None))
+    rows = execute(event_catalog(spark, sf_dir), Request("[ohlc.1h]", None, PARAMS, limit=None))
     low, high = (F.get_json_object("value", f"$.{c}").cast("double") for c in ("low", "high"))
     return rows.withColumn("value", F.round(high - low, 6))
 

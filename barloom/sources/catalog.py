@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.intervals import interval_ms, params_hash
@@ -38,14 +38,24 @@ def latest_versions(facts: DataFrame) -> DataFrame:
     return facts.groupBy(*keys).agg(best).select(*(F.col(c) if c in keys else F.col(f"best.{c}").alias(c) for c in facts.columns))
 
 
-def bars(ticks: DataFrame, period: str, coin: str, millis, value: str, order: str) -> DataFrame:
+def utc_micros(time: Column, without_zone: bool) -> Column:
+    """Epoch microseconds; a time without zone counts as UTC, whatever the session's zone is."""
+    if not without_zone:
+        return F.unix_micros(time)
+    seconds = F.unix_date(time.cast("date")).cast("long") * 86_400 + F.hour(time) * 3600 + F.minute(time) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), time) * 1_000_000).cast("long")
+
+
+def bars(ticks: DataFrame, period: str, coin: str, micros: Column, value: str, order: str) -> DataFrame:
     """coin, timestamp_start, open, high, low, close, volume, version of each bar.
 
-    millis is a column of epoch milliseconds; order breaks ties of time and gives the
-    version. The aggregation combines before its only shuffle.
+    micros is a column of epoch microseconds, of which the nearest millisecond decides the
+    bar; order breaks ties of time and gives the version. Ticks without a value give no price, but count as volume; ticks of a null
+    coin make bars of a null coin. The aggregation combines before its only shuffle.
     """
     step = interval_ms(period)
-    moment = F.struct(millis.alias("t"), F.col(order).alias("o"))
+    moment = F.when(F.col(value).isNotNull(), F.struct(micros.alias("t"), F.col(order).isNull().alias("none"), F.col(order).alias("o")))
+    millis = F.call_function("div", micros + F.when(micros < 0, -500).otherwise(500), F.lit(1000))
     return ticks.groupBy(F.col(coin).alias("coin"), (F.floor(millis / step).cast("long") * step).alias("timestamp_start")).agg(
         F.min_by(value, moment).alias("open"),
         F.max(value).alias("high"),

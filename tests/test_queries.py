@@ -14,17 +14,49 @@ FOLDER = "/root/testdata/sf0.01"
 KEYS = ["coin", "indicator", "timestamp_start"]
 
 
-@pytest.mark.parametrize("name", ["avg", "std", "regr_benchmark", "true_range", "ema_padded", "separation_over_atr", "rsi", "integer_division", "math_functions", "slice_middle", "batch", "page_limit", "object_range", "stored_scalar"])
-def test_against_sql(spark, name):
+def compared(spark, folder, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW events AS SELECT * FROM '{FOLDER}/events.parquet'")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
     want = con.sql(queries.oracle_sql()[name]).df()
-    got = queries.queries()[name](spark, FOLDER).toPandas()
+    got = queries.queries()[name](spark, str(folder)).toPandas()
     assert sorted(got.columns) == sorted(want.columns)
     got, want = (t[sorted(want.columns)].sort_values(KEYS).reset_index(drop=True) for t in (got, want))
     assert len(got) == len(want) and got.equals(want.astype(got.dtypes.to_dict()))
 
 
+@pytest.fixture(scope="module")
+def dense(tmp_path_factory):
+    """Events a few microseconds apart at the edges of bars, other types, and nulls in every column."""
+    folder = tmp_path_factory.mktemp("dense")
+    start = queries.START * 1000
+    duckdb.sql(f"""COPY (
+        SELECT CASE WHEN i % 97 = 0 THEN NULL ELSE i END AS event_id,
+               CASE WHEN i % 89 = 0 THEN NULL ELSE make_timestamp({start} + (i // 40) * 3600000000 + ((i * 7919) % 40) * 50 - 1000) END AS ts, i AS user_id,
+               CASE i % 5 WHEN 0 THEN 'view' WHEN 1 THEN 'click' WHEN 2 THEN 'new' WHEN 3 THEN NULL ELSE 'error' END AS event_type,
+               CASE WHEN i % 11 = 0 THEN NULL WHEN i % 1013 = 0 THEN 'nan'::DOUBLE ELSE ((i * 31) % 997) / 8 + 1 END AS value, NULL::VARCHAR AS props
+        FROM range(24000) r(i)) TO '{folder}/events.parquet'""")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["count", "precedence", "ohlc_series", "benchmark_close", "nested_windows", "slice_until", "stored_scalar", "integer_division"])
+def test_ties_nulls_and_new_coins_against_sql(spark, dense, name):
+    compared(spark, dense, name)
+
+
+def test_bars_do_not_depend_on_the_session_zone(spark):
+    name, zone = "slice_middle", spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        compared(spark, FOLDER, name)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+@pytest.mark.parametrize("name", ["avg", "std", "regr_benchmark", "true_range", "ema_padded", "separation_over_atr", "rsi", "integer_division", "math_functions", "slice_middle", "batch", "page_limit", "object_range", "stored_scalar"])
+def test_against_sql(spark, name):
+    compared(spark, FOLDER, name)
+
+
 @pytest.fixture(scope="module")
 def catalog(spark):
     closes = [10.0, 12.0, 11.0, None, 15.0, 14.0, 16.0]
