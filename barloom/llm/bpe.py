@@ -182,7 +182,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         memory = _memories[key]
         for batch in batches:
             texts = texts_of(batch)
-            for a, b in sliced(texts, 4 << 20):
+            for a, b in sliced(texts, 1 << 20):
                 rows = []
                 for pieces in memory.look_up(texts[a:b]):
                     ids = b",".join([x[0] for x in pieces])

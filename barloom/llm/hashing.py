@@ -1,8 +1,11 @@
-"""Rabin-Karp hashes of words and of word windows, vectorised with numpy.
-
-Hashes are polynomials modulo 2**64 with odd multipliers, so that a power has an
-inverse and any span's hash comes from two prefix sums; a bijective mixing step
-follows. Words are the spans between the bytes 0x20 and 0x09-0x0D.
+"""Rabin-Karp hashes of word windows, vectorised with numpy.
+
+A word's hash adds up mixed pairs of byte and place, since a polynomial modulo 2**64
+over bytes would give some words of 2,048 bytes and more the same hash whatever its
+base. Hashes of windows are polynomials over at most a few dozen word hashes, with odd
+multipliers, so that a power has an inverse and any span's hash comes from two prefix
+sums; a bijective mixing step follows. Words are the spans between the bytes 0x20 and
+0x09-0x0D.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-BYTE_BASE = 0x9E3779B97F4A7C15
+PLACES = 64  # bytes of a word whose pairs come from a table
 WORD_BASE = 0xD1342543DE82EF95
 SECOND_BASE = 0xAF251AF3B0F025B5
 
@@ -46,6 +49,35 @@ def _table(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def _pairs(seed: int) -> np.ndarray:
+    """A mixed value for each of the first PLACES places and each byte."""
+    return mixed(np.arange(1, PLACES * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+
+
+_PAIRS = (_pairs(0), _pairs(0x2545F4914F6CDD1D))
+
+
+def word_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, many: int = 1) -> list[np.ndarray]:
+    """One or two independent hashes of the bytes of each span; spans are not empty, ascending and apart."""
+    if not len(begin):
+        return [np.zeros(0, dtype=np.uint64)] * many
+    place = np.zeros(len(raw), dtype=np.int32)
+    place[begin] = begin
+    np.maximum.accumulate(place, out=place)
+    np.subtract(np.arange(len(raw), dtype=np.int32), place, out=place)
+    at = (place & np.int32(PLACES - 1)) << np.int32(8) | raw
+    far = np.flatnonzero(place >= PLACES)
+    turn = (place[far] // PLACES).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    out = []
+    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+    for table in _PAIRS[:many]:
+        pair = table.take(at)
+        pair[far] = mixed(pair[far] + turn)
+        np.cumsum(pair, out=sums[1:])
+        out.append(mixed(sums[end] - sums[begin] + (end - begin).astype(np.uint64)))
+    return out
+
+
 def spans(values: np.ndarray, begin: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
     """Unmixed polynomial hashes of values[begin:end] for each pair."""
     if not len(begin):
@@ -72,7 +104,7 @@ def words_of(texts: list[str], lower: bool = False) -> Words:
     space = _SPACE[raw]
     edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=np.int8(1), append=np.int8(1)))
     begin, end = edge[0::2], edge[1::2]
-    hashes = mixed(spans(raw.astype(np.uint64) + np.uint64(1), begin, end, BYTE_BASE) + (end - begin).astype(np.uint64))
+    (hashes,) = word_hashes(raw, begin, end)
     offsets = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum([len(e) + 1 for e in encoded], out=offsets[1:])
     return Words(hashes, np.searchsorted(begin, offsets))

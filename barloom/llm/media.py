@@ -137,7 +137,7 @@ def store_text_media(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch)
-            for a, b in sliced(texts, 8 << 20):
+            for a, b in sliced(texts, 2 << 20):
                 made = [payload_image(t) for t in texts[a:b]]
                 yield record_batch(schema, [batch.column("doc_id").slice(a, b - a), [n for n, _ in made], [encode_pgm(x) for _, x in made]])
 

@@ -50,7 +50,7 @@ def frequency_sketch(docs: DataFrame, size: int) -> np.ndarray:
         total = np.zeros(CELLS, dtype=np.int64)
         for batch in batches:
             texts = texts_of(batch)
-            for a, b in sliced(texts, 4 << 20):
+            for a, b in sliced(texts, 1 << 20):
                 every = np.concatenate(shingle_sets(texts[a:b], size))
                 total += np.bincount((every % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
         if total.any():
@@ -111,7 +111,7 @@ def document_sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch)
-            for a, b in sliced(texts, 4 << 20):
+            for a, b in sliced(texts, 1 << 20):
                 rows = []
                 for hashes in shingle_sets(texts[a:b], size):
                     k, prefix = chosen_prefix(hashes, sketch.value, num, den)

@@ -36,7 +36,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int =
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             texts, doc_ids = texts_of(batch), batch.column("doc_id").to_pylist()
-            for a, b in sliced(texts, 4 << 20):
+            for a, b in sliced(texts, 1 << 20):
                 rows = []
                 for doc_id, ids in zip(doc_ids[a:b], own.encode(texts[a:b]), strict=True):
                     ids += end

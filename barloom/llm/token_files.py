@@ -40,7 +40,7 @@ def encoded_in_order(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: i
         end = np.array([end_id], dtype="<u2").tobytes()
         for batch in batches:
             texts = texts_of(batch)
-            for a, b in sliced(texts, 4 << 20):
+            for a, b in sliced(texts, 1 << 20):
                 ids = [x + end for x in own.encode(texts[a:b])]
                 n = np.array([len(x) // 2 for x in ids], dtype=np.int64)
                 counts += np.bincount(np.frombuffer(b"".join(ids), dtype="<u2"), minlength=vocabulary)

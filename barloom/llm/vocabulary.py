@@ -1,19 +1,20 @@
 """Ids of public tokenizers, with a bounded memory of pieces met before.
 
 A text is cut where the tokenizer's own pre-tokenisation always cuts, so that the
-pieces can be encoded one by one. Pieces are told apart by 64-bit hashes; a piece
+pieces can be encoded one by one. Pieces are told apart by two 64-bit hashes; a piece
 met before is looked up in sorted hashes.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
 
-from barloom.llm.hashing import _LOWER, _SPACE, BYTE_BASE, mixed, spans
+from barloom.llm.hashing import _LOWER, _SPACE, word_hashes
 
 MEMORY = 800_000
 LONGEST = 64
@@ -89,15 +90,17 @@ def folded_case(raw: np.ndarray) -> np.ndarray:
 class PieceMemory:
     """Values of pieces, made once and remembered.
 
-    make gets distinct pieces and returns a value for each. About MEMORY pieces of
-    at most LONGEST bytes are remembered, the longest unused ones are forgotten
-    first; this changes speed only. prepare changes the bytes of all texts before.
+    make gets distinct pieces and returns a value for each. Pieces are equal where both
+    of two independent 64-bit hashes are. About MEMORY pieces of at most LONGEST bytes
+    are remembered, the longest unused ones are forgotten first; this changes speed
+    only. prepare changes the bytes of all texts before.
     """
 
     def __init__(self, make: Callable[[list[bytes]], list], cutter: Callable, prepare: Callable | None = None):
         self.make, self.cutter, self.prepare, self.tick = make, cutter, prepare, 0
         self.hashes = np.zeros(0, dtype=np.uint64)
-        self.used = np.zeros(0, dtype=np.int64)
+        self.checks = np.zeros(0, dtype=np.uint64)
+        self.used = np.zeros(0, dtype=np.int32)
         self.values = np.zeros(0, dtype=object)
 
     def look_up(self, texts: list[str]) -> list[list]:
@@ -113,13 +116,13 @@ class PieceMemory:
             raw = self.prepare(raw)
             data = raw.tobytes()
         begin, end, first = self.cutter(raw, offsets)
-        keys = mixed(spans(raw.astype(np.uint64) + np.uint64(1), begin, end, BYTE_BASE) + (end - begin).astype(np.uint64))
+        keys, checks = word_hashes(raw, begin, end, 2)
         unique, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
         values = np.empty(len(unique), dtype=object)
         place = np.searchsorted(self.hashes, unique)
         hit = np.zeros(len(unique), dtype=bool)
-        inside = place < len(self.hashes)
-        hit[inside] = self.hashes[place[inside]] == unique[inside]
+        inside = np.flatnonzero(place < len(self.hashes))
+        hit[inside] = (self.hashes[place[inside]] == unique[inside]) & (self.checks[place[inside]] == checks[at[inside]])
         self.tick += 1
         self.used[place[hit]] = self.tick
         values[hit] = self.values[place[hit]]
@@ -130,16 +133,19 @@ class PieceMemory:
             fresh[:] = made
             values[new] = fresh
             keep = (end - begin)[at[new]] <= LONGEST
-            self._remember(unique[new][keep], fresh[keep])
+            self._remember(unique[new][keep], checks[at[new]][keep], fresh[keep])
         listed = values[inverse].tolist()
+        for i in np.flatnonzero(checks != checks[at][inverse]).tolist():  # another piece of the same first hash
+            (listed[i],) = self.make([data[begin[i] : end[i]]])
         return [listed[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
 
-    def _remember(self, hashes: np.ndarray, values: np.ndarray) -> None:
+    def _remember(self, hashes: np.ndarray, checks: np.ndarray, values: np.ndarray) -> None:
         if len(self.hashes) + len(hashes) > MEMORY:
             keep = self.used > np.median(self.used) if len(self.used) else slice(0, 0)
-            self.hashes, self.used, self.values = self.hashes[keep], self.used[keep], self.values[keep]
+            self.hashes, self.checks, self.used, self.values = self.hashes[keep], self.checks[keep], self.used[keep], self.values[keep]
         at = np.searchsorted(self.hashes, hashes)
         self.hashes = np.insert(self.hashes, at, hashes)
+        self.checks = np.insert(self.checks, at, checks)
         self.used = np.insert(self.used, at, self.tick)
         self.values = np.insert(self.values, at, values)
 
@@ -148,9 +154,7 @@ def load_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 class PieceEncoder:
@@ -173,11 +177,22 @@ class PieceEncoder:
                 out += [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             return out
 
-        self.tokenizer = tokenizer
+        self.tokenizer, self.kind = tokenizer, kind
         self.memory = PieceMemory(make, leading_pieces) if style == "leading" else PieceMemory(make, dropped_pieces, folded_case)
+        added = {t.content: (i, t) for i, t in tokenizer.get_added_tokens_decoder().items()}
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for _, t in added.values()):
+            raise ValueError("added tokens that depend on what stands beside them are not supported")
+        self.added = {content: np.array([i], dtype=kind).tobytes() for content, (i, _) in added.items()}
+        longest = sorted(added, key=lambda c: (-len(c), c))
+        self.split = re.compile(f"({'|'.join(map(re.escape, longest))})").split if added else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(x) for x in self.memory.look_up(texts)]
+        """The ids' bytes of each text; added tokens in a text are one id each, as the library has it."""
+        if self.split is None or not any(c in t for t in texts for c in self.added):
+            return [b"".join(x) for x in self.memory.look_up(texts)]
+        parts = [self.split(t) for t in texts]  # every other one is an added token
+        found = iter(self.memory.look_up([p for own in parts for p in own[::2]]))
+        return [b"".join(self.added[p] if k % 2 else b"".join(next(found)) for k, p in enumerate(own)) for own in parts]
 
 
 _encoders: dict[tuple[str, str, str], PieceEncoder] = {}

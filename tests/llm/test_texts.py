@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 import regex
 import tiktoken
+from tokenizers import Tokenizer
 
 from barloom.llm import bpe, hashing, media, ngram_join, packing, substring_dedup, token_files, vocabulary
 from barloom.llm.rans import BlockError, Decoder, FrequencyTable, encode
@@ -106,6 +107,46 @@ def test_chosen_prefix_never_misses():
             assert len(np.intersect1d(p, q)) >= min(k, m)
 
 
+SPECIAL = ["hello <|endoftext|> world", "a<|endoftext|>b <|startoftext|><|endoftext|>", "<|endoftext|", "<|ENDOFTEXT|> x", " <|endoftext|> "]
+
+
+@pytest.mark.parametrize(("name", "style"), [("byte_bpe_50k.json", "leading"), ("word_bpe_49k.json", "dropped")])
+def test_added_tokens_as_the_library_has_them(name, style):
+    path = vocabulary.public_path(name)
+    plain = Tokenizer.from_file(path)
+    got = vocabulary.PieceEncoder(path, style, "<u4").encode([*SPECIAL, "none here", ""])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in [*SPECIAL, "none here", ""]]
+
+
+def morse(a, b, size):
+    """The word whose polynomial hash modulo 2**64 equals that of its complement."""
+    bits = [bin(i).count("1") % 2 for i in range(size)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_words_that_collide_under_polynomials(spark):
+    one, other = morse("a", "b", 4096)
+    hashes = hashing.words_of([one, other, one]).hashes
+    assert hashes[0] != hashes[1] and hashes[0] == hashes[2]
+    for name, style in (("byte_bpe_50k.json", "leading"), ("word_bpe_49k.json", "dropped")):
+        path = vocabulary.public_path(name)
+        got = vocabulary.PieceEncoder(path, style, "<u4").encode([one, other])
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in (one, other)]
+    more = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, one), (2, other), (3, f"{one} {more}"), (4, f"{other} {more[:60]}")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in ngram_join.similar_components(docs, 3, 90, 100).collect()} == {(i, i) for i in range(1, 5)}
+    long = spark.createDataFrame([(i, " ".join([w] * 40)) for i, w in enumerate((one, other))], "doc_id long, text string")
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows(substring_dedup.removal_report(long))) == removed(texts(long), 35)
+
+
+def test_pieces_of_the_same_first_hash_stay_apart(monkeypatch):
+    real = vocabulary.word_hashes
+    monkeypatch.setattr(vocabulary, "word_hashes", lambda *a: [real(*a)[0] % np.uint64(3), real(*a)[1]])
+    memory = vocabulary.PieceMemory(lambda pieces: [p.decode() for p in pieces], vocabulary.leading_pieces)
+    for text in ("one two three four five six one", "six two seven one"):
+        assert "".join(memory.look_up([text])[0]) == text
+
+
 def test_words_are_spans_between_ascii_space():
     given = ["a\x0bb\x1cc  d", "", "é f g"]
     words = hashing.words_of(given)
@@ -116,7 +157,7 @@ def test_words_are_spans_between_ascii_space():
 def test_packing(request, which):
     docs = request.getfixturevalue(which)
     path = vocabulary.public_path("byte_bpe_50k.json")
-    tokenizer = vocabulary.load_tokenizer(path)
+    tokenizer = Tokenizer.from_file(path)
     got = rows(packing.pack_documents(docs, path))
     want = Counter()
     for doc_id, text in texts(docs):
@@ -185,7 +226,7 @@ def test_bpe_merge_order_where_a_later_pair_is_lower():
 def test_token_files(request, which):
     docs = request.getfixturevalue(which)
     path = vocabulary.public_path("word_bpe_49k.json")
-    tokenizer = vocabulary.load_tokenizer(path)
+    tokenizer = Tokenizer.from_file(path)
     want, at = Counter(), 0
     for doc_id, text in sorted(texts(docs), key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
         ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
