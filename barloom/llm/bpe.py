@@ -2,15 +2,25 @@
 
 Words are rows of token and position. A round joins neighbouring tokens to the merge
 table and contracts, in each word, the leftmost pair of minimum rank. Rounds go on until
-no word has a pair. In words of more than SHORT bytes other places of the same pair are
-contracted in the same round unless the new token could itself begin or end a pair of
-lower rank, so that long runs take few rounds.
+no word has a pair.
+
+In words of more than SHORT bytes a round contracts each pair of minimum rank within a
+reach to either side, twice the length of the longest token that can occur; of pairs in a
+row that overlap, every other one from the left. No contraction elsewhere can come before
+and matter: a token that took one of the pair's two tokens away would lie within reach,
+and the first of the contractions that make it would be of a pair there, which comes
+later. Pairs of the same rank come from left to right and leave each other alone, but
+where the new token begins or ends a pair of lower rank; of such pairs a round contracts
+the leftmost within reach only. So the rounds do not grow with the word, and only changed rows are kept
+between them.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import os
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,35 +59,27 @@ GROUP BY word
 """
 
 _ROUNDS = """
-WITH RECURSIVE rounds(round, word, pos, tok) AS (
-    SELECT 0, word, pos, tok FROM byte_rows
-  UNION ALL
-    SELECT round + 1, word, pos, CASE WHEN chosen THEN best ELSE tok END
-    FROM (
-        SELECT *, coalesce(lag(chosen) OVER w, false) AS gone
-        FROM (
-            SELECT *, CASE WHEN m IS DISTINCT FROM best THEN false
-                           WHEN alone THEN nth = min(CASE WHEN m = best THEN nth END) OVER (PARTITION BY word)
-                           ELSE (nth - coalesce(max(CASE WHEN m IS DISTINCT FROM best THEN nth END) OVER w, 0)) % 2 = 1 END AS chosen
-            FROM (
-                SELECT a.*, coalesce(o.alone, false) AS alone
-                FROM (
-                    SELECT p.round, p.word, p.pos, p.tok, p.nth, g.m, min(g.m) OVER (PARTITION BY p.word) AS best
-                    FROM (
-                        SELECT round, word, pos, tok, lead(tok) OVER w AS nxt, row_number() OVER w AS nth
-                        FROM rounds WINDOW w AS (PARTITION BY word ORDER BY pos)
-                    ) p LEFT JOIN merges g ON g.l = p.tok AND g.r = p.nxt
-                ) a LEFT JOIN low_openers o ON o.tok = a.best
-                WHERE a.best IS NOT NULL
-            ) WINDOW w AS (PARTITION BY word ORDER BY pos)
-        ) WINDOW w AS (PARTITION BY word ORDER BY pos)
-    ) WHERE NOT gone
-), last AS (
-    SELECT word, max(round) AS round FROM rounds GROUP BY word
+WITH RECURSIVE state(word, pos, tok) USING KEY (word, pos) AS (
+    SELECT word, pos, tok FROM byte_rows
+  UNION
+    (WITH live AS (
+        SELECT word, pos, tok, lead(tok) OVER w AS nxt, lead(pos) OVER w AS next
+        FROM recurring.state WHERE tok >= 0 WINDOW w AS (PARTITION BY word ORDER BY pos)
+    ), pairs AS (
+        SELECT word, pos, next, g.m, row_number() OVER w AS nth, coalesce(lag(g.m) OVER w = g.m AND lag(next) OVER w = pos, false) AS follows,
+               min(g.m::BIGINT << 32 | pos) OVER (PARTITION BY word ORDER BY pos RANGE BETWEEN {reach} PRECEDING AND {reach} FOLLOWING) AS best
+        FROM live JOIN merges g ON g.l = live.tok AND g.r = live.nxt WINDOW w AS (PARTITION BY word ORDER BY pos)
+    ), runs AS (
+        SELECT *, max(CASE WHEN NOT follows THEN nth END) OVER w AS run, coalesce(max(CASE WHEN best >> 32 <> m THEN nth END) OVER w, 0) AS other
+        FROM pairs WINDOW w AS (PARTITION BY word ORDER BY pos)
+    ), chosen AS (
+        SELECT word, pos, next, m FROM runs LEFT JOIN low_openers o ON o.tok = m
+        WHERE CASE WHEN alone IS NULL THEN other < run AND (nth - run) % 2 = 0 ELSE (m::BIGINT << 32 | pos) = best END
+    )
+    SELECT word, pos, m FROM chosen UNION ALL SELECT word, next, -1 FROM chosen)
 )
 SELECT word, string_agg(tok::VARCHAR, ',' ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS hex
-FROM rounds JOIN last USING (word, round) JOIN vocabulary USING (tok)
-GROUP BY word
+FROM state JOIN vocabulary USING (tok) GROUP BY word
 """
 
 
@@ -92,8 +94,10 @@ class DuckBpe:
     def __init__(self, ranks: dict[bytes, int], memory: str = "300MB"):
         import duckdb
 
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": memory})
+        spill = os.path.join(tempfile.gettempdir(), f"barloom-duckdb-{os.getpid()}")  # made only if a word needs it
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": memory, "temp_directory": spill})
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
+        self.by_size = sorted(((len(t), frozenset(t)) for t in ranks), key=lambda x: -x[0])
         left, right, merged, openers = [], [], [], set()
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
@@ -103,11 +107,10 @@ class DuckBpe:
                     right.append(b)
                     merged.append(rank)
                     openers |= {x for x in (a, b) if x > rank}
-        tokens = list(ranks)
         for name, data in {
             "merges": {"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "m": pa.array(merged, pa.int32())},
             "low_openers": {"tok": pa.array(sorted(openers), pa.int32()), "alone": pa.array([True] * len(openers), pa.bool_())},
-            "vocabulary": {"tok": pa.array(list(ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in tokens])},
+            "vocabulary": {"tok": pa.array(list(ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in ranks])},
         }.items():
             self.con.register("given", pa.table(data))
             self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
@@ -127,12 +130,17 @@ class DuckBpe:
             word = np.repeat(chosen, n)
             pos = np.arange(len(tok)) - np.repeat(np.cumsum(n) - n, n)
             self.con.register("byte_rows", pa.table({"k": word * SHORT + pos, "tok": tok} if short else {"word": word, "pos": pos, "tok": tok}))
-            found = self.con.sql(_SHORT_ROUNDS if short else _ROUNDS).to_arrow_table()
+            found = self.con.sql(_SHORT_ROUNDS if short else _ROUNDS.format(reach=self.reach([words[i] for i in chosen]))).to_arrow_table()
             self.con.unregister("byte_rows")
             for i, ids, data in zip(*(found.column(c).to_pylist() for c in ("word", "ids", "hex")), strict=True):
                 out[i] = (ids.encode(), bytes.fromhex(data))
         return out
 
+    def reach(self, words: list[bytes]) -> int:
+        """Twice the length of the longest token that can occur in the words."""
+        met = frozenset(b"".join(words))
+        return 2 * next((n for n, own in self.by_size if own <= met), 1)
+
     def run_all(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
         """run() over parts of about BATCH_BYTES."""
         out, begin, size = [], 0, 0
