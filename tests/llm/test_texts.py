@@ -1,9 +1,12 @@
 """Operators over texts against plain Python versions."""
 
 import hashlib
+import io
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -222,6 +225,21 @@ def test_bpe_merge_order_where_a_later_pair_is_lower():
     assert [data for _, data in got] == words
 
 
+def test_bpe_of_long_words():
+    ranks = bpe.read_ranks(vocabulary.public_path("byte_bpe_multi_50k.tiktoken"))
+    own = tiktoken.Encoding("own", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={})
+    engine, rng = bpe.DuckBpe(ranks), np.random.default_rng(2)
+    words = ["".join(rng.choice(list(alphabet), size=n)) for alphabet in ("abcdefghijklmnopqrstuvwxyz", "etaoin", "ab", "=-", "ñéü中文字", "a ") for n in (65, 300, 3000)] + ["a" * 8000, "ab" * 3000]
+    got = engine.run([w.encode() for w in words])
+    assert [ids for ids, _ in got] == [",".join(map(str, own.encode_ordinary(w))).encode() for w in words]
+    letters = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), size=100_000)).encode()
+    assert engine.run([letters])[0][1] == letters
+    odd = {bytes([i]): i for i in range(256)} | {b"abx": 300, b"bx": 301, b"ab": 302, b"aa": 303, b"aab": 304, b"xa": 299, b"bxa": 290}
+    own = tiktoken.Encoding("own", pat_str=r"[a-z]+", mergeable_ranks=odd, special_tokens={})
+    words = ["".join(rng.choice(list("abx"), size=n)) for n in rng.integers(65, 200, 300)]
+    assert [ids for ids, _ in bpe.DuckBpe(odd).run([w.encode() for w in words])] == [",".join(map(str, own.encode_ordinary(w))).encode() for w in words]
+
+
 @pytest.mark.parametrize("which", ["odd", "documents"])
 def test_token_files(request, which):
     docs = request.getfixturevalue(which)
@@ -268,7 +286,29 @@ def test_media(request, which):
         want[doc_id, len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]), len(stored), hashlib.sha256(stored).hexdigest()] += 1
     got = media.text_media(docs).collect()
     assert Counter(tuple(r)[:7] for r in got) == want
-    assert all(re.fullmatch("[0-9a-f]{16}", r.feature) for r in got)
+    for doc_id, text in texts(docs):
+        if doc_id is not None and len(text) < 20_000:
+            assert {r.feature for r in got if r.doc_id == doc_id and r.n_bytes == len(text.encode())} == {slow_hash(text)}
+
+
+def slow_hash(text):
+    """The difference hash by adding up parts of samples one by one."""
+    data = text.encode()
+    padded = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
+    rows_ = len(padded) // 64
+    bits = ""
+    for y in range(8):
+        cells = []
+        for x in range(9):
+            total = Fraction(0)
+            for r in range(y * rows_ // 8, -(-(y + 1) * rows_ // 8)):
+                high = min(Fraction(r + 1), Fraction((y + 1) * rows_, 8)) - max(Fraction(r), Fraction(y * rows_, 8))
+                for c in range(x * 64 // 9, -(-(x + 1) * 64 // 9)):
+                    wide = min(Fraction(c + 1), Fraction((x + 1) * 64, 9)) - max(Fraction(c), Fraction(x * 64, 9))
+                    total += high * wide * padded[64 * r + c]
+            cells.append(int(np.rint(float(total / (Fraction(rows_, 8) * Fraction(64, 9))))))
+        bits += "".join("1" if a < b else "0" for a, b in zip(cells, cells[1:], strict=False))
+    return f"{int(bits, 2):016x}"
 
 
 def test_images():
@@ -276,9 +316,41 @@ def test_images():
     for data in (media.encode_pgm(grey), media.encode_bmp(grey), b"P2\n# c\n10 6\n255\n" + b" ".join(b"%d" % x for x in grey.ravel())):
         assert (media.decode(data) == grey).all()
     assert media.decode(b"P6\n1 1\n255\n\1\2\3").tolist() == [[[1, 2, 3]]]
+    assert media.decode(b"P3 1#c\n 1 7 1 2 3").tolist() == [[[1, 2, 3]]]
+    assert media.decode(b"P5 1 2 65535 \1\2\3\4").tolist() == [[0x102], [0x304]]
+    assert media.decode(b"P1\n# c\n3 2\n101\n0 1 0").tolist() == media.decode(b"P4\n3 2\n\xa0\x40").tolist() == [[0, 255, 0], [255, 0, 255]]
     small = media.area_resize(grey, 3, 5)
     assert np.allclose(small, grey.reshape(3, 2, 5, 2).mean(axis=(1, 3)))
     assert np.allclose(media.area_resize(grey, 4, 7).mean(), grey.mean())
-    for bad in (b"", b"P5\n9 9\n255\n", b"BM", b"GIF89a"):
+
+
+def bmp(width, height, bits, palette, body):
+    head = struct.pack("<IiiHHIIiiII", 40, width, height, 1, bits, 0, len(body), 0, 0, len(palette) // 4, 0)
+    return b"BM" + struct.pack("<IHHI", 54 + len(palette) + len(body), 0, 0, 54 + len(palette)) + head + palette + body
+
+
+def test_bitmaps_of_few_and_many_bits():
+    two = bytes([0, 0, 0, 0, 255, 255, 255, 0])
+    assert media.decode(bmp(3, -2, 1, two, b"\xa0\0\0\0\x40\0\0\0")).tolist() == [[255, 0, 255], [0, 255, 0]]
+    colours = bytes([10, 20, 30, 0, 1, 2, 3, 0])
+    assert media.decode(bmp(3, 1, 4, colours, b"\x01\x10\0\0")).tolist() == [[[30, 20, 10], [3, 2, 1], [3, 2, 1]]]
+    assert media.decode(bmp(1, 1, 24, b"", b"\1\2\3\0")).tolist() == media.decode(bmp(1, 1, 32, b"", b"\1\2\3\0")).tolist() == [[[3, 2, 1]]]
+    assert media.decode(bmp(2, 1, 16, b"", struct.pack("<HH", 0x7C00, 0x001F))).tolist() == [[[255, 0, 0], [0, 0, 255]]]
+
+
+def test_images_that_cannot_be_read(spark):
+    whole = media.encode_bmp(np.zeros((3, 5), dtype=np.uint8))
+    bad = [b"", b"P5\n9 9\n255\n", b"BM", b"GIF89a", whole[:-3], whole[:60], b"P5" + b" " * 60 + b"x", b"P5" + b"#a\n " * 5000, b"P5 0 4 255 ", b"P2 2 1 255 1 x", b"P2 2 1 255 1 300", b"P5 99999999999 99999999999 255 1", bmp(1, 1, 8, bytes(4), b"\5\0\0\0")]
+    for data in bad:
         with pytest.raises(media.MediaError):
-            media.decode(bad)
+            media.decode(data)
+    rows_ = [(i, 1, b) for i, b in enumerate([*bad, media.encode_pgm(np.zeros((1, 64), dtype=np.uint8)), None])]
+    out = {r.doc_id: r for r in media.media_features(spark.createDataFrame(rows_, "doc_id long, n_bytes long, media binary")).collect()}
+    assert len(out) == len(rows_) and all((out[i].error is None) == (i == len(bad)) for i in out)
+    assert out[0].feature is None and out[len(bad)].payload_bytes == 64
+
+
+def test_deep_samples_are_scaled():
+    deep = np.arange(72, dtype=np.uint16).reshape(8, 9) * 900
+    shallow = np.load(io.BytesIO(media.npy_tile(media.Image(deep, 65535))))
+    assert shallow.max() == round(71 * 900 * 255 / 65535) and media.difference_hash(media.npy_tile(media.Image(deep, 65535))) == "ff" * 8
