@@ -11,8 +11,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,10 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import is_held_out, record_batch, texts_of
+from barloom.llm.common import dropped, is_held_out, record_batch, stored, texts_of
 
 FIT_DOCUMENTS = 12_000  # labelled documents that the lexicon is learned from
-ENTRIES = 4000
 SHORTEST = 4  # letters of a beginning
 
 # Characters that are read as Latin letters.
@@ -74,7 +72,7 @@ def measures(text: str, automaton) -> tuple[float, float]:
     """Log of the summed weight, and of the weight per hundred words."""
     text = folded(text)
     hits: dict[int, float] = {}
-    spared = []
+    spared: list[tuple[int, int]] = []
     if len(automaton):
         for end, (size, weight, exception) in automaton.iter(text):
             begin = end - size + 1
@@ -82,7 +80,14 @@ def measures(text: str, automaton) -> tuple[float, float]:
                 spared.append((begin, end))
             else:
                 hits[begin] = max(weight, hits.get(begin, 0.0))
-    total = sum(w for at, w in hits.items() if not any(a <= at < b for a, b in spared))
+    total, reach, k = 0.0, -1, 0  # reach: where the exceptions that have begun end
+    spared.sort()
+    for at in sorted(hits):
+        while k < len(spared) and spared[k][0] <= at:
+            reach = max(reach, spared[k][1])
+            k += 1
+        if at >= reach:
+            total += hits[at]
     words = max(1, text.count(" ") - 1)
     return math.log1p(total), math.log1p(100 * total / (words + 50))
 
@@ -100,73 +105,106 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
     return beta
 
 
-def learn(texts: list[str], toxic: list[int]) -> Lexicon:
-    """Entries whose documents are toxic far above the base rate, and what spares them."""
-    y = np.array(toxic, dtype=np.int64)
-    if len(y) == 0 or y.min() == y.max():
-        return Lexicon(coefficients=(3.0 if len(y) and y.min() else -3.0, 0.0, 0.0))
+def pieces(text: str) -> set[str]:
+    """Words and beginnings of words of a text that may become entries."""
+    words = set(folded(text).split())
+    out = {f" {w} " for w in words}
+    for w in words:
+        out.update(f" {w[:size]}" for size in range(SHORTEST, min(9, len(w) + 1)))
+    return out
 
-    def pieces(text: str) -> set[str]:
-        words = set(folded(text).split())
-        out = {f" {w} " for w in words}
-        for w in words:
-            out.update(f" {w[:size]}" for size in range(SHORTEST, min(9, len(w) + 1)))
-        return out
 
-    found = Counter(p for text, t in zip(texts, toxic, strict=True) if t for p in pieces(text))
-    # only pieces of enough toxic documents can become entries, so that no others are counted in the rest
-    met = (Counter(), Counter({p: n for p, n in found.items() if n >= 4}))
-    del found
-    for text, t in zip(texts, toxic, strict=True):
-        if not t:
-            met[0].update(p for p in pieces(text) if p in met[1])
-    n1, n0 = int(y.sum()), int(len(y) - y.sum())
-
-    def weight(piece: str) -> float:
-        return math.log((met[1][piece] + 0.5) / (n1 + 1)) - math.log((met[0][piece] + 0.5) / (n0 + 1))
-
-    def strength(piece: str) -> float:
-        a, b = met[1][piece], met[0][piece]
-        share = n1 / (n1 + n0)
+def phrases(text: str, automaton) -> set[str]:
+    """The entries of a text with the word before or after them."""
+    text = folded(text)
+    out = set()
+    for end, (size, _, _) in automaton.iter(text):
+        begin = end - size + 1
+        stop = text.find(" ", begin + 1)
+        before = text.rfind(" ", 0, begin) if begin else -1
+        after = text.find(" ", stop + 1)
+        if before >= 0:
+            out.add(text[before : stop + 1])
+        if after >= 0:
+            out.add(text[begin : after + 1])
+    return out
+
+
+def chosen_entries(counts: Iterable[tuple[str, int, int]], n1: int, n0: int) -> dict[str, float]:
+    """Weights of the pieces (piece, toxic documents, others) that are toxic far above the base rate.
+
+    Of a beginning and its longer forms the stronger one stays.
+    """
+    share = n1 / (n1 + n0)
+    weights, strong = {}, {}
+    for piece, a, b in counts:
+        weight = math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
         p = a / (a + b)
-        return 2 * (a * math.log(p / share) + (b * math.log((1 - p) / (1 - share)) if b else 0.0)) if p > share else 0.0
-
-    strong = {p: strength(p) for p in met[1] if weight(p) > 1.6}
-    order = sorted((p for p, s in strong.items() if s > 15), key=lambda p: (-strong[p], -len(p), p))
+        strength = 2 * (a * math.log(p / share) + (b * math.log((1 - p) / (1 - share)) if b else 0.0)) if p > share else 0.0
+        if weight > 1.6 and strength > 15:
+            weights[piece], strong[piece] = weight, strength
     chosen: dict[str, float] = {}
-    begun: dict[str, float] = {}
-    for piece in order[: 20 * ENTRIES]:
-        if len(chosen) >= ENTRIES:
-            break
+    begun: set[str] = set()
+    for piece in sorted(strong, key=lambda p: (-strong[p], -len(p), p)):
         # a longer form of a chosen beginning, or the beginning of a chosen form, adds little
-        if any(piece[:size] in chosen for size in range(2, len(piece))) or piece in begun:
-            continue
-        chosen[piece] = weight(piece)
-        for size in range(2, len(piece)):
-            begun[piece[:size]] = 1.0
-    lexicon = Lexicon(entries=chosen)
-    if chosen:
-        automaton = lexicon.automaton()
-        around = (Counter(), Counter())
-        for text, t in zip(texts, toxic, strict=True):
-            text = folded(text)
-            phrases = set()
-            for end, (size, _, _) in automaton.iter(text):
-                begin = end - size + 1
-                stop = text.find(" ", begin + 1)
-                before = text.rfind(" ", 0, begin) if begin else -1
-                after = text.find(" ", stop + 1)
-                if before >= 0:
-                    phrases.add(text[before : stop + 1])
-                if after >= 0:
-                    phrases.add(text[begin : after + 1])
-            around[t].update(phrases)
-        for phrase, clean in around[0].items():
-            if clean >= 4 and clean / n0 > 4 * (around[1][phrase] + 0.5) / n1:
-                lexicon.exceptions[phrase] = float(clean)
-    automaton = lexicon.automaton()
-    x = np.array([measures(t, automaton) for t in texts])
-    lexicon.coefficients = tuple(fit_logistic(x, y).tolist())
+        if piece not in begun and not any(piece[:size] in chosen for size in range(2, len(piece))):
+            chosen[piece] = weights[piece]
+            begun.update(piece[:size] for size in range(2, len(piece)))
+    return chosen
+
+
+def exceptions(counts: Iterable[tuple[str, int, int]], n1: int, n0: int) -> dict[str, float]:
+    """Phrases (phrase, toxic documents, others) that other documents have far more often."""
+    return {phrase: float(clean) for phrase, bad, clean in counts if clean >= 4 and clean / n0 > 4 * (bad + 0.5) / n1}
+
+
+def learn(sample: DataFrame) -> Lexicon:
+    """Entries, what spares them, and the score's coefficients, from texts and t (0 or 1).
+
+    Pieces and phrases are counted in Spark; the driver gets the pieces of at least four
+    toxic texts and two numbers a text.
+    """
+    totals = {r.t: r.n for r in sample.groupBy("t").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = totals.get(1, 0), totals.get(0, 0)
+    if not n1 or not n0:
+        return Lexicon(coefficients=(3.0 if n1 else -3.0, 0.0, 0.0))
+
+    def counted(found, least: int, which: str) -> list[tuple[str, int, int]]:
+        """(key, toxic texts, others) of the keys that found() gives for least texts of a kind."""
+        schema = pa.schema([("key", pa.string()), ("t", pa.int32())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            every = found()
+            for batch in batches:
+                for text, t in zip(texts_of(batch), batch.column("t").to_pylist(), strict=True):
+                    keys = list(every(text))
+                    if keys:
+                        yield record_batch(schema, [keys, [t] * len(keys)])
+
+        rows = sample.select("text", "t").mapInArrow(run, "key string, t int").groupBy("key").agg(F.sum("t").alias("a"), F.sum(1 - F.col("t")).alias("b"))
+        return sorted((r.key, r.a, r.b) for r in rows.filter(F.col(which) >= least).collect())
+
+    lexicon = Lexicon(entries=chosen_entries(counted(lambda: pieces, 4, "a"), n1, n0))
+    if lexicon.entries:
+        first = Lexicon(lexicon.entries)
+
+        def around():
+            automaton = first.automaton()
+            return lambda text: phrases(text, automaton)
+
+        lexicon.exceptions = exceptions(counted(around, 4, "b"), n1, n0)
+    known = Lexicon(lexicon.entries, lexicon.exceptions)
+    schema = pa.schema([("x0", pa.float64()), ("x1", pa.float64()), ("t", pa.int32())])
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = known.automaton()
+        for batch in batches:
+            if len(batch):
+                yield record_batch(schema, [*zip(*(measures(t, automaton) for t in texts_of(batch)), strict=True), batch.column("t")])
+
+    rows = sorted(sample.select("text", "t").mapInArrow(measured, "x0 double, x1 double, t int").collect())
+    x = np.array([(r.x0, r.x1) for r in rows])
+    lexicon.coefficients = tuple(fit_logistic(x, np.array([r.t for r in rows], dtype=np.int64)).tolist())
     return lexicon
 
 
@@ -174,13 +212,17 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS) -> Lexico
     """Learn from at most `most` labelled documents that are not held out.
 
     Which ones depends on a hash of doc_id only. Null labels, doc_ids and texts are
-    left out; of repeated labels the larger counts.
+    left out; of repeated labels the larger counts, of the texts of a repeated doc_id
+    the one of the smallest hash. The sample is stored; no text reaches the driver.
     """
     known = labels.filter("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("t"))
     known = known.filter(~is_held_out(F.col("id"))).orderBy(F.xxhash64("id")).limit(most)
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(known), "id").filter("text is not null").toPandas()
-    rows = rows.sort_values(["id", "text"])
-    return learn(rows["text"].tolist(), rows["t"].clip(0, 1).tolist())
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(known), "id").filter("text is not null")
+    one = rows.groupBy("id").agg(F.min_by(F.struct("text", "t"), F.struct(F.xxhash64("text"), "text")).alias("r"))
+    sample = stored(one.select("r.text", F.greatest(F.lit(0), F.least(F.lit(1), F.col("r.t"))).alias("t")), "sample")
+    lexicon = learn(sample)
+    dropped(docs.sparkSession, sample)
+    return lexicon
 
 
 def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFrame:

@@ -1,6 +1,7 @@
 """Search, classifiers, surrogates, and the pipeline."""
 
 import re
+import time
 import zlib
 
 import numpy as np
@@ -85,15 +86,84 @@ def test_toxicity(spark, odd, nothing):
     assert {r.doc_id: r.predicted for r in toxicity.score(hidden, lexicon).collect()} == {1: 1, 2: 1, 3: 0, 4: 1}
 
 
-def test_toxicity_exceptions():
-    texts = ["what utter trash here"] * 40 + ["take trash day again"] * 40 + ["quiet words only"] * 60
-    lexicon = toxicity.learn(texts, [1] * 40 + [0] * 100)
+def slow_toxicity(given):
+    """The lexicon of (text, t) by plain counting, and each text's score by the definition."""
+    n1 = sum(t for _, t in given)
+    n0 = len(given) - n1
+
+    def counts(keys):
+        found = {}
+        for text, t in given:
+            for key in keys(text):
+                found.setdefault(key, [0, 0])[1 - t] += 1
+        return found
+
+    entries = toxicity.chosen_entries([(k, a, b) for k, (a, b) in sorted(counts(toxicity.pieces).items()) if a >= 4], n1, n0)
+
+    def places(text, phrases):
+        return [(i, p) for p in phrases for i in range(len(text)) if text.startswith(p, i)]
+
+    def around(text):
+        text = toxicity.folded(text)
+        words = text.split(" ")
+        out = set()
+        for i, p in places(text, entries):
+            k = text[: i + 1].count(" ")
+            if k > 1:
+                out.add(f" {words[k - 1]} {words[k]} ")
+            if k + 1 < len(words) - 1:
+                out.add(f" {words[k]} {words[k + 1]} ")
+        return out
+
+    spares = {p for p, (a, b) in counts(around).items() if b >= 4 and b / n0 > 4 * (a + 0.5) / n1}
+
+    def measured(text):
+        text = toxicity.folded(text)
+        inside = {j for i, p in places(text, spares) for j in range(i, i + len(p) - 1)}
+        best = {}
+        for i, p in places(text, entries):
+            best[i] = max(best.get(i, 0), entries[p])
+        total = sum(w for i, w in best.items() if i not in inside)
+        return np.log1p(total), np.log1p(100 * total / (max(1, len(text.split())) + 50))
+
+    return entries, spares, measured
+
+
+def test_toxicity_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    calm = [f"calm{i}" for i in range(30)]
+    given = []
+    for i in range(260):
+        words = list(rng.choice(calm, 12))
+        if i < 60:
+            words[int(rng.integers(12))] = ("vile", "vileness", "rotten")[i % 3]
+        elif i < 70:
+            at = int(rng.integers(11))
+            words[at : at + 2] = ["rotten", "apples"]
+        given.append((" ".join(words), int(i < 60)))
+    entries, spares, measured = slow_toxicity(given)
+    lexicon = toxicity.learn(spark.createDataFrame(given, "text string, t int"))
+    assert lexicon.entries == entries and set(lexicon.exceptions) == spares and spares
     own = lexicon.automaton()
-    assert toxicity.measures("what utter trash here", own)[0] > 0
+    for text, _ in [*given, ("rotten apples rotten vile", 1), ("", 0)]:
+        assert np.allclose(toxicity.measures(text, own), measured(text))
+    one = toxicity.learn(spark.createDataFrame(given[:5], "text string, t int"))
+    assert one.entries == {} and one.coefficients[0] > 0
+
+
+def test_toxicity_exceptions():
     lexicon = toxicity.Lexicon({" trash ": 3.0}, {" trash day ": 1.0})
     assert toxicity.measures("take trash day", lexicon.automaton())[0] == 0
     assert toxicity.measures("trash day trash", lexicon.automaton())[0] > 0
-    assert toxicity.learn([], []).entries == {}
+    start = time.process_time()
+    toxicity.measures("trash trash day " * 100_000, lexicon.automaton())
+    assert time.process_time() - start < 10
+
+
+def test_toxicity_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "b text"), (1, "a text"), (2, None), (3, "c"), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 0), (4, 1), (None, 1), (5, None)], "doc_id long, toxic int")
+    assert toxicity.score(docs, toxicity.fit(docs, labels)).count() == 5
 
 
 def test_quality(spark, odd, nothing):
