@@ -8,16 +8,17 @@ logistic model over the two calibrated views scores all documents.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import dropped, is_held_out, record_batch, stored, texts_of
-from barloom.llm.hashing import mixed
 from barloom.llm.toxicity import fit_logistic
 
 FIT_DOCUMENTS = 12_000  # labelled documents that the views are fitted on
@@ -26,6 +27,7 @@ ROUNDS = 5
 ADDED = 0.05  # share of the unlabelled documents that a view labels in a round
 SURE = 0.9  # likelihood that a pseudo-label needs
 METADATA_SLOTS = 64
+PARTS = 64  # rows of sums that reach the driver
 
 _KINDS = {"upper": bytes(range(65, 91)), "lower": bytes(range(97, 123)), "digit": b"0123456789", "symbol": b"#$%&*+<=>@^_~\\{}[]", "bar": b"|", "shout": b"!?", "stop": b".,;:'\"()-/", "space": b" \t", "line": b"\n\r"}
 
@@ -49,8 +51,7 @@ def metadata_features(lang: str | None, source: str | None, size: int | None) ->
     """Hashed language and source, and the recorded length; no text."""
     out = np.zeros(METADATA_SLOTS + 8)
     for name, value in (("lang", lang), ("source", source)):
-        code = np.frombuffer(f"{name}={value}".encode()[:256].ljust(256, b"\0"), dtype=np.uint8).astype(np.uint64)
-        out[int(mixed(np.array([(code * np.arange(1, 257, dtype=np.uint64) ** np.uint64(5)).sum()]))[0] % METADATA_SLOTS)] = 1.0
+        out[int.from_bytes(hashlib.blake2b(f"{name}={value}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") % METADATA_SLOTS] = 1.0
     if size is not None:
         scale = np.log1p(max(0, size))
         out[METADATA_SLOTS:] = np.exp(-((scale - np.arange(2, 10)) ** 2))
@@ -117,20 +118,31 @@ class StoredPool:
         self.features = features
         self.spark = features.sparkSession
         self.labelled: set[int] = set()  # rows that have a pseudo-label
-        schema = pa.schema([("n", pa.int64()), *((f"{x}{v}", pa.list_(pa.float64())) for v in (0, 1) for x in ("s", "q"))])
+        width = (len(text_features("")), METADATA_SLOTS + 8)
+        schema = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("sums", pa.list_(pa.float64()))])
+        ddl = "part int, n long, sums array<double>"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, total = 0, np.zeros(2 * sum(width))
             for batch in batches:
                 if len(batch):
-                    sums = [y for u in _matrices(batch) for y in (u.sum(axis=0), (u * u).sum(axis=0))]
-                    yield record_batch(schema, [[len(batch)], *([y] for y in sums)])
-
-        parts = features.select("v0", "v1").mapInArrow(run, "n long, s0 array<double>, q0 array<double>, s1 array<double>, q1 array<double>")
-        width = (len(text_features("")), METADATA_SLOTS + 8)
-        sums = [F.array(*(F.sum(F.col(f"{x}{v}")[i]) for i in range(width[v]))).alias(f"{x}{v}") for v in (0, 1) for x in ("s", "q")]
-        total = parts.agg(F.sum("n").alias("n"), *sums).first()
-        self.n = total.n or 0
-        self.sums = [tuple(np.array(total[f"{x}{v}"] if self.n else [0.0] * width[v]) for x in ("s", "q")) for v in (0, 1)]
+                    n += len(batch)
+                    total += np.concatenate([y for u in _matrices(batch) for y in (u.sum(axis=0), (u * u).sum(axis=0))])
+            if n:
+                yield record_batch(schema, [[TaskContext.get().partitionId() % PARTS], [n], [total]])
+
+        def add(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, n, total = 0, 0, np.zeros(2 * sum(width))
+            for batch in group:
+                part, n = batch.column("part")[0].as_py(), n + sum(batch.column("n").to_pylist())
+                total += batch.column("sums").flatten().to_numpy().reshape(len(batch), -1).sum(axis=0)
+            yield record_batch(schema, [[part], [n], [total]])
+
+        rows = sorted(features.select("v0", "v1").mapInArrow(run, ddl).groupBy("part").applyInArrow(add, ddl).collect())
+        self.n = sum(r.n for r in rows)
+        total = np.sum([r.sums for r in rows], axis=0) if rows else np.zeros(2 * sum(width))
+        each = np.split(total, np.cumsum([width[0], width[0], width[1]]))
+        self.sums = [(each[0], each[1]), (each[2], each[3])]
 
     def moments(self) -> list[tuple[np.ndarray, np.ndarray]]:
         return self.sums
@@ -236,20 +248,22 @@ _META = ("lang", "source", "n_chars")
 def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS, pool: int = POOL_DOCUMENTS) -> CoTrained:
     """Fit on a bounded sample of the labels, chosen by a hash of doc_id, and all unlabelled documents.
 
-    Held-out labels are not used. pool bounds only how many documents a round adds.
+    Held-out labels are not used. Of a doc_id with several rows the one of the smallest
+    features counts. pool bounds only how many documents a round adds.
     """
     known = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").cast("int").alias("q"))
     known = known.filter(~is_held_out(F.col("id"))).orderBy(F.xxhash64("id")).limit(most)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
-    labelled = rows.join(F.broadcast(known), "id").mapInArrow(_featured(["id", "q"]), "id long, q int, v0 array<double>, v1 array<double>").toPandas()
-    labelled = labelled.assign(key=[tuple(x) for x in labelled["v0"]]).sort_values(["id", "key"])
+    labelled = rows.join(F.broadcast(known), "id").mapInArrow(_featured(["id", "q"]), "id long, q int, v0 array<double>, v1 array<double>")
+    one = labelled.groupBy("id").agg(F.min(F.struct("v0", "v1", "q")).alias("r")).select("id", "r.q", "r.v0", "r.v1")  # one row an id
+    labelled = one.toArrow().sort_by("id").combine_chunks()
     free = rows.filter("id is not null").mapInArrow(_featured(["id"]), "id long, v0 array<double>, v1 array<double>")  # texts do not go to the join
     free = free.join(labels.select(F.col("doc_id").cast("long").alias("id")), "id", "left_anti")
     free = stored(free.withColumn("row", F.monotonically_increasing_id()), "features")
 
     width = (len(text_features("")), METADATA_SLOTS + 8)
-    views = [np.vstack([np.zeros((0, w)), *labelled[c]]) for c, w in zip(("v0", "v1"), width, strict=True)]
-    model = co_train(views, labelled["q"].clip(0, 1).to_numpy(dtype=np.int64), StoredPool(free), most=pool)
+    views = [labelled.column(c).combine_chunks().flatten().to_numpy().reshape(-1, w) for c, w in zip(("v0", "v1"), width, strict=True)]
+    model = co_train(views, np.clip(labelled.column("q").to_numpy(), 0, 1).astype(np.int64), StoredPool(free), most=pool)
     dropped(docs.sparkSession, free)
     return model
 
