@@ -28,7 +28,10 @@ SMALL = 4  # lengths up to capacity / SMALL are small
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 for every piece of every document."""
+    """doc_id, piece, start, length, ids_crc32 for every piece of every document.
+
+    A null or empty text is one piece of the end id; a null doc_id stays null.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +120,11 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY, groups: int = GR
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
-    """Add sequence_id and offset. pieces is read twice, so it should be stored."""
+    """Add sequence_id and offset to pieces (see cut_pieces), without row.
+
+    row has a number of its own for each piece. pieces is read twice, so it must be
+    stored. An empty table gives no rows; repeated pieces are packed each.
+    """
     part = pieces.filter(F.col("length") < capacity)
     shards = max(1, -(-part.count() // shard))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -130,7 +137,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD)
         where, offset = pack_lengths(group.column("length").to_numpy(), capacity)
         return pa.table([*group.columns, pa.array(2 * ((which << 32) + where)), pa.array(offset)], schema=schema)
 
-    key = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)).alias("shard")
+    key = F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard")  # repeated rows spread too
     packed = part.select(*columns, key).groupBy("shard").applyInArrow(run, ddl)
     alone = pieces.filter(F.col("length") >= capacity).select(*columns, (2 * F.monotonically_increasing_id() + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(alone)
@@ -142,4 +149,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: i
     A null or empty text is the end id alone. Repeated rows are packed each; a null
     doc_id stays null; an empty table gives no rows; extra columns are ignored.
     """
-    return pack_pieces(stored(cut_pieces(docs, tokenizer, end_id, capacity), "pieces"), capacity)
+    pieces = cut_pieces(docs, tokenizer, end_id, capacity).withColumn("row", F.monotonically_increasing_id())
+    return pack_pieces(stored(pieces, "pieces"), capacity)
