@@ -1,7 +1,7 @@
 """Static range asymmetric numeral system over token ids.
 
-All blocks share one frequency table. A block interleaves LANES states; lane i
-codes every LANES-th id. Renormalisation moves 32-bit words. A block's bytes are
+All blocks share one frequency table. A block interleaves at most LANES states, fewer in
+a small block; lane i of n codes every n-th id. Renormalisation moves 32-bit words. A block's bytes are
 
     b"BLR1", ids (u32), lanes (u16), checkpoints (u16), words (u32), crc32 (u32),
     then for each checkpoint: word position (u32) and the lanes' states (u64 each),
@@ -67,13 +67,14 @@ class FrequencyTable:
 
 def encode(ids: np.ndarray, table: FrequencyTable) -> bytes:
     n, bits = len(ids), np.uint64(SCALE_BITS)
-    steps = -(-n // LANES)
+    lanes = min(LANES, max(1, n // 64))
+    steps = -(-n // lanes)
     f, c = table.frequency[ids], table.start[ids]
     top = f << np.uint64(63 - SCALE_BITS)
-    x = np.full(LANES, LOW, dtype=np.uint64)
+    x = np.full(lanes, LOW, dtype=np.uint64)
     out, saved = [], []
     for s in range(steps - 1, -1, -1):
-        a, b = s * LANES, min(n, (s + 1) * LANES)
+        a, b = s * lanes, min(n, (s + 1) * lanes)
         part, fs = x[: b - a], f[a:b]
         full = np.flatnonzero(part >= top[a:b])
         over = part[full]
@@ -88,7 +89,7 @@ def encode(ids: np.ndarray, table: FrequencyTable) -> bytes:
     np.cumsum([len(w) for w in out], out=position[1:])
     words = np.concatenate(out) if out else np.zeros(0, dtype=np.uint32)
     check = zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())
-    parts = [_HEAD.pack(MAGIC, n, LANES, len(saved), len(words), check)]
+    parts = [_HEAD.pack(MAGIC, n, lanes, len(saved), len(words), check)]
     for s, state in reversed(saved):
         parts += [struct.pack("<I", position[s]), state.astype("<u8").tobytes()]
     return b"".join([*parts, words.astype("<u4").tobytes()])

@@ -1,8 +1,12 @@
 """Token ids as files of rANS blocks: write in doc_id order, read back.
 
-Files are Parquet with one block a row: part and block order the blocks; doc_ids,
-lengths and the count of ids before the block in its part locate the documents;
-payload is the coded block (see rans).
+A folder holds all that a reader needs, as Parquet:
+
+    blocks   one block a row: part and block order the blocks, whatever file they are in;
+             doc_ids, lengths and before (ids before the block in its part) locate the
+             documents; payload is the coded block (see rans)
+    table    the frequency of each id that occurs, shared by all blocks
+    parts    the number of ids before each part
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import dropped, new_path, record_batch, sliced, stored, texts_of
@@ -26,8 +30,8 @@ BLOCK = 524_288
 def encoded_in_order(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int) -> DataFrame:
     """Rows of ids in ascending doc_id order, and a row of id counts for each part.
 
-    Ties of doc_id are ordered by the text; null doc_ids come first. A row has
-    part, seq (order in the part), before (ids before it in the part), n and ids
+    Rows of one doc_id are in the order of their texts' hashes; null doc_ids come first.
+    The rows of one doc_id, or one row repeated, may take several parts. A row has part, seq (order in the part), before (ids before it in the part), n and ids
     (little-endian, 16 bits); the counts row has seq -1 and 32-bit counts.
     """
     kinds = [("part", pa.int32()), ("seq", pa.int64()), ("doc_id", pa.int64()), ("before", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())]
@@ -50,8 +54,9 @@ def encoded_in_order(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: i
         if seq:
             yield record_batch(schema, [[part], [-1], [None], [0], [before], [counts.astype("<i8").tobytes()]])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash"), F.spark_partition_id().alias("origin"))
+    keys = ["doc_id", "hash", "origin"]
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys, "text").select("doc_id", "text")
     return ordered.mapInArrow(run, "part int, seq long, doc_id long, before long, n long, ids binary")
 
 
@@ -66,9 +71,9 @@ def id_counts(encoded: DataFrame, vocabulary: int) -> np.ndarray:
                 seen = np.flatnonzero(counts)
                 yield record_batch(schema, [pa.array(seen.astype(np.int32)), pa.array(counts[seen])])
 
-    found = encoded.filter("seq = -1").select("ids").mapInArrow(run, "id int, count long").groupBy("id").agg(F.sum("count").alias("count")).toPandas()
+    found = encoded.filter("seq = -1").select("ids").mapInArrow(run, "id int, count long").groupBy("id").agg(F.sum("count").alias("count")).toArrow()
     out = np.zeros(vocabulary, dtype=np.int64)
-    out[found["id"].to_numpy(dtype=np.int64)] = found["count"].to_numpy()
+    out[found.column("id").to_numpy()] = found.column("count").to_numpy()
     return out
 
 
@@ -117,28 +122,37 @@ def from_blocks(blocks: DataFrame, table: FrequencyTable) -> DataFrame:
     return blocks.mapInArrow(run, "part int, doc_id long, before long, n_tokens long, ids_crc32 long")
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: int) -> tuple[FrequencyTable, dict[int, int]]:
-    """Write blocks below path; the shared table and each part's first position.
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: int) -> None:
+    """Write blocks, table and parts below path.
 
-    Only one number a part and one count an id reach the driver.
+    Only one number a part and one count an id reach the driver. An empty table gives
+    empty files; null texts count as empty.
     """
     spark = docs.sparkSession
     encoded = stored(encoded_in_order(docs, tokenizer, end_id, vocabulary), "ids")
     table = FrequencyTable.of_counts(id_counts(encoded, vocabulary))
-    to_blocks(encoded, table).write.mode("overwrite").option("compression", "uncompressed").parquet(path)
-    first, total = {}, 0
-    for row in sorted(encoded.filter("seq = -1").select("part", "n").collect()):
-        first[row.part] = total
-        total += row.n
+    own = {"mode": "overwrite", "compression": "uncompressed"}
+    to_blocks(encoded, table).write.parquet(f"{path}/blocks", **own)
+    shares = [(i, int(n)) for i, n in enumerate(table.frequency) if n]
+    spark.createDataFrame([*shares, (vocabulary, 0)], "id int, frequency long").coalesce(1).write.parquet(f"{path}/table", **own)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    parts = encoded.filter("seq = -1").select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    parts.write.parquet(f"{path}/parts", **own)
     dropped(spark, encoded)
-    return table, first
 
 
-def read_token_files(spark, path: str, table: FrequencyTable, first: dict[int, int]) -> DataFrame:
-    blocks = spark.read.schema("part int, block long, before long, doc_ids array<long>, lengths array<int>, payload binary").parquet(path)
-    base = spark.createDataFrame(sorted(first.items()) or [(0, 0)], "part int, base long")
-    found = from_blocks(blocks, table).join(F.broadcast(base), "part") if len(first) <= 100_000 else from_blocks(blocks, table).join(base, "part")
-    return found.select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+def read_token_files(spark, path: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the files alone."""
+    shares = spark.read.schema("id int, frequency long").parquet(f"{path}/table").toArrow()
+    frequency = np.zeros(max(shares.column("id").to_pylist(), default=0), dtype=np.uint64)  # the last row gives the size only
+    for i, n in zip(shares.column("id").to_pylist(), shares.column("frequency").to_pylist(), strict=True):
+        if n:
+            frequency[i] = n
+    table = FrequencyTable(frequency, np.cumsum(frequency) - frequency)
+    blocks = spark.read.schema("part int, block long, before long, doc_ids array<long>, lengths array<int>, payload binary").parquet(f"{path}/blocks")
+    parts = spark.read.schema("part int, first long").parquet(f"{path}/parts")
+    found = from_blocks(blocks, table).join(parts, "part")  # Spark broadcasts parts where its files are small
+    return found.select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_file_round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, vocabulary: int = 49_408) -> DataFrame:
@@ -148,5 +162,5 @@ def token_file_round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, voca
     ignored. vocabulary is the number of ids, at most 65,536.
     """
     path = new_path(docs.sparkSession, "tokens")
-    table, first = write_token_files(docs, path, tokenizer, end_id, vocabulary)
-    return read_token_files(docs.sparkSession, path, table, first)
+    write_token_files(docs, path, tokenizer, end_id, vocabulary)
+    return read_token_files(docs.sparkSession, path)

@@ -254,6 +254,27 @@ def test_token_files(request, which):
     assert Counter((r.doc_id, r.start if r.doc_id is not None else None, r.n_tokens, r.ids_crc32) for r in got) == want
 
 
+def test_token_files_are_read_by_another_session(spark, documents, tmp_path):
+    """Files alone are enough, and a hot doc_id takes several parts."""
+    path = vocabulary.public_path("word_bpe_49k.json")
+    hot = documents.select("doc_id", "text").unionByName(spark.range(4000).selectExpr("7 AS doc_id", "concat('same ', id % 50) AS text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_files.write_token_files(hot, str(tmp_path / "t"), path, 2, 49_408)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = token_files.read_token_files(spark.newSession(), str(tmp_path / "t")).collect()
+    assert len(got) == hot.count()
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == sorted(r.doc_id for r in got)
+    assert len({r.part for r in spark.read.parquet(str(tmp_path / "t" / "blocks")).filter("array_contains(doc_ids, 7)").collect()}) > 1
+    token_files.write_token_files(hot.limit(0), str(tmp_path / "none"), path, 2, 49_408)
+    assert token_files.read_token_files(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_case_is_folded_as_the_tokenizer_does():
     path = vocabulary.public_path("word_bpe_49k.json")
     own = vocabulary.encoder(path, "dropped", "<u2")
@@ -269,6 +290,8 @@ def test_blocks_decode_from_checkpoints_and_notice_damage():
     assert (own.decode(data) == ids).all()
     assert (own.decode(data, 1, 2) == ids[2048 * 128 : 2 * 2048 * 128]).all()
     assert own.decode(encode(ids[:0], table)).tolist() == []
+    assert all((own.decode(encode(ids[:n], table)) == ids[:n]).all() for n in (1, 5, 64, 130, 5000))
+    assert len(encode(ids[:5], table)) < 60
     with pytest.raises(BlockError):
         own.decode(data[:-4])
     with pytest.raises(BlockError):
