@@ -1,7 +1,7 @@
 """Surrogates for personal data, with SQL functions only.
 
-Entities are found by one regular expression. An entity consists of atoms (a name of a
-given and a family name, any other entity of itself); an atom's canonical form ignores
+Entities are found by one regular expression. An entity consists of atoms (a name of
+given names and a family name, any other entity of itself); an atom's canonical form ignores
 case or separators, so that all its spellings get the same surrogate. A surrogate is
 drawn from keyed SHA-256 and keeps what tells the type: gender and script of names,
 letter case, separators and country code of numbers, a card's first digit and check
@@ -11,6 +11,8 @@ atom of the corpus, is drawn again until none is left.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from barloom.llm.common import dropped, stored
 
 KEY = "barloom"
 MOST_LITERAL = 1000  # redrawn atoms that a query may hold as a literal map
+ROUNDS = 8  # draws after which the formats that are not settled are permuted
 STREAM = 160  # bytes of a stream; longer atoms get one for each piece of that length
 
 _MALE = "Mr|Herr|Monsieur|Señor|Sr|Господин|г-н"
@@ -32,7 +35,7 @@ _KINDS = {
     "phone": r"(?<![\p{L}\p{N}+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d)])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\p{L}\p{N}])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_FEMALE}|{_MALE})\.? {_NAME}(?: {_NAME})?(?![\p{{L}}])",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_FEMALE}|{_MALE})\.? {_NAME}(?: {_NAME})*+(?![\p{{L}}])",
 }
 PATTERN = "|".join(f"(?:{p})" for p in _KINDS.values())
 #: Without this no entity can occur.
@@ -75,11 +78,8 @@ def _atoms(e: str, kind: str) -> str:
     one = lambda k, c: f"array(named_struct('kind', {k}, 'canon', {c}))"
     words = f"split(regexp_replace({e}, '^\\\\S+ ', ''), ' ')"
     gender = f"right({kind}, 1)"
-    names = _let(
-        "w",
-        words,
-        f"CASE WHEN size(w) > 1 THEN array(named_struct('kind', concat('given.', {gender}), 'canon', lower(w[0])), named_struct('kind', 'family', 'canon', lower(w[1]))) ELSE {one(chr(39) + 'family' + chr(39), 'lower(w[0])')} END",
-    )
+    part = f"CASE WHEN i = size(w) - 1 THEN 'family' ELSE concat('given.', {gender}) END"
+    names = _let("w", words, f"transform(w, (word, i) -> named_struct('kind', {part}, 'canon', lower(word)))")
     digits = f"regexp_replace({e}, '[^0-9]', '')"
     return f"""CASE WHEN {kind} LIKE 'name%' THEN {names}
         WHEN {kind} IN ('phone', 'card', 'ssn') THEN {one(kind, f"concat(CASE WHEN {kind} = 'phone' THEN concat(regexp_extract({e}, '^[+]([0-9]+)', 1), '+') ELSE '' END, {digits})")}
@@ -123,17 +123,63 @@ def _syllables(st: str, n: int, at: int, cyrillic: str) -> str:
     return f"CASE WHEN {cyrillic} THEN concat({russian}) ELSE concat({latin}) END"
 
 
-def _drawn(kind: str, canon: str, st: str) -> str:
-    """The canonical form of an atom's surrogate."""
+def _step(key: str, label: str, before: str, values: int) -> str:
+    """1 to values - 1, as far as what stands before says."""
+    return f"(1 + cast(conv(substr(sha2(concat_ws('|', {_quoted(key)}, {label}, {before}), 256), 1, 8), 16, 10) as bigint) % {values - 1})"
+
+
+def _permuted(digits: str, key: str, label: str) -> str:
+    """A keyed permutation of the strings of as many digits that leaves none in its place.
+
+    A digit moves by a step that depends on the digits before it, which can be told from
+    the result one by one.
+    """
+    each = f"cast((cast(substr(d, i, 1) as int) + {_step(key, label, 'left(d, i - 1)', 10)}) % 10 as string)"
+    return _let("d", digits, f"array_join(transform(sequence(1, length(d)), i -> {each}), '')")
+
+
+def _format(kind: str, canon: str) -> str:
+    """What numbers and addresses keep; '' for atoms whose surrogates can grow."""
+    return f"""CASE WHEN {kind} = 'phone' THEN concat(regexp_extract({canon}, '^[0-9]*[+]', 0), length({canon})) WHEN {kind} = 'ssn' THEN 'ssn'
+        WHEN {kind} = 'card' THEN concat(left({canon}, 1), '.', length({canon})) WHEN {kind} = 'ip' THEN concat('ip', {_private(canon)}) ELSE '' END"""
+
+
+def _private(canon: str) -> str:
+    return f"regexp_extract({canon}, '^(10[.]|192[.]168[.]|127[.])', 1)"
+
+
+def _moved(kind: str, canon: str, key: str) -> str:
+    """The canonical form of a number's or address's surrogate by the permutation of its format."""
+    label = f"concat({kind}, {_format(kind, canon)})"
+    code, prefix = f"regexp_extract({canon}, '^([0-9]+)[+]', 1)", f"regexp_extract({canon}, '^[0-9]*[+]', 0)"
+    national = f"substr({canon}, length({prefix}) + length({code}) + 1)"
+    number = f"concat({code}, {_permuted(national, key, label)})"
+    card = _let("p", f"concat(left({canon}, 1), {_permuted(f'substr({canon}, 2, length({canon}) - 2)', key, label)})", f"concat(p, cast((10 - {_luhn('p', 1)} % 10) % 10 as string))")
+    octets = f"split(substr({canon}, length({_private(canon)}) + 1), '[.]')"
+    each = f"cast((cast(octet as int) + {_step(key, label, "array_join(slice(o, 1, i), '.')", 256)}) % 256 as string)"
+    ip = _let("o", octets, f"concat({_private(canon)}, array_join(transform(o, (octet, i) -> {each}), '.'))")
+    return f"CASE WHEN {kind} IN ('phone', 'ssn') THEN {number} WHEN {kind} = 'card' THEN {card} ELSE {ip} END"
+
+
+def _drawn(kind: str, canon: str, st: str, attempt: str, key: str) -> str:
+    """The canonical form of an atom's surrogate in an attempt; -1 is the permutation of its format."""
     number = _let("code", f"regexp_extract({canon}, '^([0-9]+)[+]', 1)", f"concat(code, array_join(transform(sequence(1, length({canon}) - length(regexp_extract({canon}, '^[0-9]*[+]', 0)) - length(code)), i -> cast(CASE WHEN i = 1 THEN 2 + {_byte(st, 'i')} % 8 ELSE {_byte(st, 'i')} % 10 END as string)), ''))")
     card = _let("p", f"concat(left({canon}, 1), array_join(transform(sequence(2, length({canon}) - 1), i -> cast({_byte(st, 'i')} % 10 as string)), ''))", f"concat(p, cast((10 - {_luhn('p', 1)} % 10) % 10 as string))")
-    private = f"regexp_extract({canon}, '^(10[.]|192[.]168[.]|127[.])', 1)"
-    ip = _let("head", private, f"concat(head, array_join(transform(sequence(1 + length(head) - length(replace(head, '.', '')), 4), i -> cast(CASE WHEN i = 1 THEN 11 + {_byte(st, 'i')} % 100 ELSE 1 + {_byte(st, 'i')} % 254 END as string)), '.'))")
+    ip = _let("head", _private(canon), f"concat(head, array_join(transform(sequence(1 + length(head) - length(replace(head, '.', '')), 4), i -> cast(CASE WHEN i = 1 THEN 11 + {_byte(st, 'i')} % 100 ELSE 1 + {_byte(st, 'i')} % 254 END as string)), '.'))")
     cyrillic = f"{canon} rlike '[а-яё]'"
-    given = f"concat({_syllables(st, 3, 0, cyrillic)}, CASE WHEN {kind} = 'given.f' THEN CASE WHEN {cyrillic} THEN 'на' ELSE 'na' END WHEN {cyrillic} THEN 'н' ELSE 'n' END)"
-    family = f"concat({_syllables(st, 5, 20, cyrillic)}, CASE WHEN {cyrillic} THEN CASE WHEN {canon} LIKE '%а' THEN 'ва' ELSE 'в' END ELSE 's' END)"
-    return f"""CASE WHEN {kind} IN ('phone', 'ssn') THEN {number} WHEN {kind} = 'card' THEN {card} WHEN {kind} = 'ip' THEN {ip}
-        WHEN {kind} = 'email' THEN concat({_mapped(f"regexp_extract({canon}, '^(.*[.])[^.]*$', 1)", st)}, regexp_extract({canon}, '[^.]*$', 0))
+
+    def more(letters: str, at: int) -> str:
+        """A letter more for each attempt after the second."""
+        one = f"substr('{letters}', {_byte(st, f'{at} + i')} % {len(letters)} + 1, 1)"
+        return f"CASE WHEN {attempt} > 2 THEN array_join(transform(sequence(1, {attempt} - 2), i -> {one}), '') ELSE '' END"
+
+    longer = f"CASE WHEN {cyrillic} THEN {more('аеиоубвгдзклмн', 40)} ELSE {more('aeioubdfgklmnprstvz', 40)} END"
+    given = f"concat({_syllables(st, 3, 0, cyrillic)}, {longer}, CASE WHEN {kind} = 'given.f' THEN CASE WHEN {cyrillic} THEN 'на' ELSE 'na' END WHEN {cyrillic} THEN 'н' ELSE 'n' END)"
+    family = f"concat({_syllables(st, 5, 20, cyrillic)}, {longer}, CASE WHEN {cyrillic} THEN CASE WHEN {canon} LIKE '%а' THEN 'ва' ELSE 'в' END ELSE 's' END)"
+    box = _let("m", _mapped(f"regexp_extract({canon}, '^(.*[.])[^.]*$', 1)", st), f"concat(substring_index(m, '@', 1), {more('abcdefghijklmnopqrstuvwxyz', 100)}, '@', substring_index(m, '@', -1))")
+    return f"""CASE WHEN {attempt} < 0 THEN {_moved(kind, canon, key)}
+        WHEN {kind} IN ('phone', 'ssn') THEN {number} WHEN {kind} = 'card' THEN {card} WHEN {kind} = 'ip' THEN {ip}
+        WHEN {kind} = 'email' THEN concat({box}, regexp_extract({canon}, '[^.]*$', 0))
         WHEN {kind} LIKE 'given%' THEN {given} WHEN {kind} = 'family' THEN {family} ELSE {_mapped(canon, st)} END"""
 
 
@@ -165,28 +211,33 @@ def with_entities(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__entities", F.expr(f"transform({kinds}, x -> named_struct('value', x.value, 'kind', x.kind, 'atoms', {_atoms('x.value', 'x.kind')}))"))
 
 
-def redrawn(found: DataFrame, key: str = KEY, rounds: int = 20) -> DataFrame:
-    """Atoms (kind, canon) whose surrogate had to be drawn again, and the attempt."""
+def redrawn(found: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFrame:
+    """Atoms (kind, canon) whose first surrogate did not stay, and the attempt that did.
+
+    After rounds the formats of numbers and addresses that are not settled are permuted
+    (attempt -1); surrogates that can grow are drawn until none is shared.
+    """
     atoms = found.select(F.explode("__entities").alias("e")).select(F.explode("e.atoms").alias("a")).select("a.kind", "a.canon").distinct()
-    now = stored(atoms.withColumn("attempt", F.lit(0)).withColumn("drawn", F.expr(_drawn_at(key))), "atoms")
-    for _ in range(rounds):
+    now = stored(atoms.withColumns({"attempt": F.lit(0), "format": F.expr(_format("kind", "canon"))}).withColumn("drawn", F.expr(_drawn_at(key))), "atoms")
+    for turn in itertools.count():
         real = now.select(F.col("kind").alias("k"), F.regexp_replace("canon", "^[0-9]*[+]", "").alias("c")).distinct()
-        twice = now.withColumn("nth", F.expr("row_number() over (partition by kind, drawn order by canon)"))
+        twice = now.withColumn("nth", F.expr("row_number() over (partition by kind, format, drawn order by canon)"))
         marked = twice.join(real, (F.col("kind") == F.col("k")) & (F.col("drawn") == F.col("c")), "left")
-        bad = (F.col("nth") > 1) | F.col("c").isNotNull()
-        # short secrets or numbers may not have enough other values: the last draw then stays
-        new = marked.select("kind", "canon", (F.col("attempt") + bad.cast("int")).alias("attempt"), bad.alias("bad"))
+        bad = ((F.col("nth") > 1) | F.col("c").isNotNull()) & (F.col("attempt") >= 0)
+        new = marked.select("kind", "canon", "format", (F.col("attempt") + bad.cast("int")).alias("attempt"), bad.alias("bad"))
+        if turn >= rounds:
+            tight = stored(new.filter("bad and format <> ''").select("kind", "format").distinct().withColumn("tight", F.lit(True)), "tight")
+            new = new.join(tight, ["kind", "format"], "left").withColumn("attempt", F.when(F.col("tight"), -1).otherwise(F.col("attempt"))).drop("tight")
         new = stored(new.withColumn("drawn", F.expr(_drawn_at(key))), "atoms")
         left = new.filter("bad").count()
         dropped(now.sparkSession, now)
         now = new.drop("bad")
         if not left:
-            break
-    return now.filter("attempt > 0").select("kind", "canon", "attempt")
+            return now.filter("attempt <> 0").select("kind", "canon", "attempt")
 
 
 def _drawn_at(key: str) -> str:
-    return _let("st", _stream(key, "kind", "canon", "cast(attempt as string)"), _drawn("kind", "canon", "st"))
+    return _let("st", _stream(key, "kind", "canon", "cast(attempt as string)"), _drawn("kind", "canon", "st", "attempt", key))
 
 
 def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
@@ -210,7 +261,8 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
         maps = at.select("__key", "__sum", "a.kind", "a.canon").distinct().join(again, ["kind", "canon"]).groupBy("__key", "__sum").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("__attempts"))
         found = found.withColumns({"__key": F.xxhash64("text"), "__sum": F.sha2("text", 256)}).join(maps, ["__key", "__sum"], "left").drop("__key", "__sum")
         attempt = "coalesce(try_element_at(__attempts, concat(a.kind, '|', a.canon)), 0)"
-    draw = _let("st", _stream(key, "a.kind", "a.canon", f"cast({attempt} as string)"), _drawn("a.kind", "a.canon", "st"))
+    draw = _let("st", _stream(key, "a.kind", "a.canon", "cast(n as string)"), _drawn("a.kind", "a.canon", "st", "n", key))
+    draw = _let("n", attempt, draw)
     one = _let("drawn", f"transform(x.atoms, a -> {draw})", _surrogate("x.value", "x.kind", "x.atoms", "drawn"))
     new = f"transform(__entities, x -> {one})"
     text = f"CASE WHEN size(__entities) = 0 OR text IS NULL THEN text ELSE array_join(zip_with(split(text, {_quoted(PATTERN)}, -1), {new}, (g, s) -> concat(g, coalesce(s, ''))), '') END"

@@ -267,6 +267,39 @@ def test_surrogates_are_distinct(spark):
         pii.MOST_LITERAL = most
 
 
+def test_surrogates_of_longer_names(spark):
+    rows = [(1, "Mr John Ronald Reuel Tolkien wrote. Ms Tolkien-Smith too; MR JOHN TOLKIEN."), (2, "Mrs " + "Anna " * 20_000 + "end")]
+    out = {r.doc_id: r.text for r in pii.surrogate_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = re.fullmatch(r"Mr (\w+n) (\w+n) (\w+n) (\w+s) wrote\. Ms (\w+s) too; MR JOHN TOLKIEN\.", out[1])
+    assert found and not {"John", "Ronald", "Reuel", "Tolkien"} & set(found.groups())
+    assert "Anna" not in out[2] and out[2].endswith(" end") and len(set(out[2].split()[1:-2])) == 1
+
+
+def test_surrogates_where_a_format_is_used_up(spark):
+    """Every private address, all short mailboxes: distinct surrogates, none in its place."""
+    rows = [(i, f"192.168.{i // 256}.{i % 256}") for i in range(1 << 16)] + [(70_000 + i, f"{a}@{b}.de") for i, (a, b) in enumerate((chr(97 + x), chr(97 + y)) for x in range(26) for y in range(26))]
+    out = [(r.doc_id, r.text) for r in pii.surrogate_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()]
+    given = dict(rows)
+    ips = [t for i, t in out if i < 70_000]
+    assert len(set(ips)) == 1 << 16 and set(ips) == {t for i, t in rows if i < 70_000}
+    mails = [t for i, t in out if i >= 70_000]
+    assert len(set(mails)) == 676 and not set(mails) & {t for i, t in rows if i >= 70_000}
+    assert all(t != given[i] for i, t in out)
+
+
+def test_permutations(spark):
+    every = [f"{i:04}" for i in range(10_000)]
+    atoms = [("phone", "49+49" + d, 0) for d in every] + [("card", f"4{d}0", 0) for d in every] + [("ip", f"10.{i // 256}.{i % 256}.7", 0) for i in range(2000)]
+    df = spark.createDataFrame(atoms, "kind string, canon string, x int").selectExpr("*", f"{pii._moved('kind', 'canon', 'k')} AS moved")
+    got = {}
+    for r in df.collect():
+        assert r.moved != r.canon.rpartition("+")[2]
+        got.setdefault(r.kind, set()).add(r.moved)
+        if r.kind == "card":
+            assert luhn(r.moved) and r.moved[0] == "4"
+    assert {k: len(v) for k, v in got.items()} == {"phone": 10_000, "card": 10_000, "ip": 2000}
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline
 
