@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from contextlib import suppress
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from barloom.operators.engine import Plan, Request, execute, plan
 from barloom.plans.domain import Absolute, FromStart, Full, Latest
 from barloom.plans.errors import QueryError
+from barloom.plans.syntax import Query, parse
 from barloom.sources.catalog import Catalog
 
 _FIELDS = {"expr", "reporting_period", "assets", "params", "after_ts", "limit", "publish_from", "obj_data_types", "scalar_data_types"}
@@ -87,24 +89,65 @@ def compile_file(path: str | Path) -> str:
     return compile_json(Path(path).read_text(encoding="utf-8"))
 
 
-def mapped_rows(df: DataFrame) -> Iterator[dict]:
-    """Rows with exactly one of value and object; streamed, a partition at a time."""
-    textual = dict(df.dtypes)["value"] == "string"
+def parse_expr(text: str):
+    """The one expression of a text; a batch is an error."""
+    query = parse(text)
+    if query.batch:
+        raise QueryError("parse_error", "a batch is not an expression", text, 0)
+    return query.members["value"]
+
+
+def parse_batch(text: str) -> Query:
+    """The members of a text, be it a batch or one expression."""
+    return parse(text)
+
+
+def compile_batch(request: Request, query: Query) -> Plan:
+    """What a request means for a query that is parsed already."""
+    return plan(request, query=query)
+
+
+def compile_expr(request: Request, expr) -> Plan:
+    return compile_batch(request, Query({"value": expr}))
+
+
+def mapped_rows(df: DataFrame, path: str = "computed") -> Iterator[dict]:
+    """Rows with exactly one of value and object; streamed, a partition at a time.
+
+    Computed and raw series have numbers. Rows of an object series without a field must
+    hold a JSON object; a field's text is a value as it stands.
+    """
     for r in df.toLocalIterator():
         row = r.asDict()
         value = row.pop("value")
         if value is None:
             raise QueryError("compile_error", "a result row has no value")
-        try:
-            parsed = json.loads(value) if textual else value
-        except ValueError:
-            parsed = value
-        yield row | ({"object": parsed} if isinstance(parsed, (dict, list)) else {"value": parsed})
+        if path == "object":
+            try:
+                value = json.loads(value)
+            except ValueError as e:
+                raise QueryError("compile_error", f"invalid object JSON in value: {e}") from e
+            if not isinstance(value, dict):
+                raise QueryError("compile_error", "object payload must be a JSON object")
+        elif path == "field":
+            with suppress(ValueError):
+                value = json.loads(value)
+        else:
+            value = float(value)
+        yield row | ({"object": value} if isinstance(value, dict) else {"value": value})
+
+
+def _mapping(p: Plan) -> str:
+    """How a plan's values are read: as numbers, as whole objects, or as fields of objects."""
+    whole = any(getattr(m, "item", None) is None for m in p.query.members.values())
+    return "object" if p.path == "object" and whole else "field" if p.path == "object" else "computed"
 
 
 def execute_json(catalog: Catalog, text: str) -> str:
     """Run a request; its rows, or the error."""
     try:
-        return json.dumps({"ok": True, "rows": list(mapped_rows(execute(catalog, request_from_json(text))))}, ensure_ascii=False)
+        request = request_from_json(text)
+        rows = mapped_rows(execute(catalog, request), _mapping(plan(request, catalog)))
+        return json.dumps({"ok": True, "rows": list(rows)}, ensure_ascii=False)
     except QueryError as e:
         return json.dumps({"ok": False, "error": e.as_dict()}, ensure_ascii=False)

@@ -1,7 +1,8 @@
 """Indicator arithmetic on aligned values, versions and warm-up flags.
 
 A value is None where it is undefined; an undefined value in a window leaves the
-result undefined.
+result undefined. Ranges and slopes of series of different lengths go as far as the
+shorter one; map_zip() wants equal lengths.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+
 Number = float | None
 
 
@@ -26,10 +29,12 @@ class Aligned:
     def map_zip(self, other: Aligned, f: Callable[[float, float], Number]) -> Aligned:
         if len(self.values) != len(other.values):
             raise ValueError("series differ in length")
+        values = [None if a is None or b is None else f(a, b) for a, b in zip(self.values, other.values, strict=True)]
+        known = [a is not None and b is not None for a, b in zip(self.values, other.values, strict=True)]
         return Aligned(
-            [None if a is None or b is None else f(a, b) for a, b in zip(self.values, other.values, strict=True)],
+            values,
             [max(p) for p in zip(self.versions, other.versions, strict=True)],
-            [a and b for a, b in zip(self.warmup, other.warmup, strict=True)],
+            [k and a and b for k, a, b in zip(known, self.warmup, other.warmup, strict=True)],
         )
 
     def map_unary(self, f: Callable[[float], Number]) -> Aligned:
@@ -55,21 +60,21 @@ def true_range(high: float, low: float, before: float) -> float:
 
 def tr_series(high: list[Number], low: list[Number], close: Aligned) -> Aligned:
     out: list[Number] = []
-    for i, (h, l) in enumerate(zip(high, low, strict=True)):
+    for i, (h, l, _) in enumerate(zip(high, low, close.values, strict=False)):
         known = i > 0 and None not in (h, l, close.values[i - 1])
         out.append(true_range(h, l, close.values[i - 1]) if known else None)
-    return Aligned(out, close.versions, [v is not None for v in out])
+    return Aligned(out, close.versions[: len(out)], [v is not None for v in out])
 
 
 def rolling_stat(x: Aligned, n: int, f: Callable[[list[float]], Number]) -> Aligned:
-    values, versions, warmup = [], [], []
+    """f over each full window; warm where f gives a value."""
+    values, versions = [], []
     for i in range(len(x.values)):
         window = x.values[i + 1 - n : i + 1] if 0 < n <= i + 1 else [None]
-        warm = None not in window
-        values.append(f(window) if warm else None)
-        versions.append(max(x.versions[i + 1 - n : i + 1]) if warm else x.versions[i])
-        warmup.append(warm)
-    return Aligned(values, versions, warmup)
+        full = None not in window
+        values.append(f(window) if full else None)
+        versions.append(max(x.versions[i + 1 - n : i + 1]) if full else x.versions[i])
+    return Aligned(values, versions, [v is not None for v in values])
 
 
 def _mean(w: list[float]) -> float:
@@ -144,7 +149,7 @@ def wilder_values(ranges: list[Number], n: int) -> list[Number]:
 
 def wilder_atr(high: list[Number], low: list[Number], close: Aligned, n: int) -> Aligned:
     out = wilder_values(tr_series(high, low, close).values, n)
-    versions = list(close.versions)
+    versions = list(close.versions[: len(out)])
     if len(out) > n and n > 0 and out[n] is not None:
         versions[n] = max(close.versions[: n + 1])
     return Aligned(out, versions, [v is not None for v in out])
@@ -184,13 +189,31 @@ def regr_slope(y: list[float], x: list[float]) -> Number:
 
 
 def rolling_regr_slope(y: Aligned, x: Aligned, n: int) -> Aligned:
-    if len(y.values) != len(x.values):
-        raise ValueError("series differ in length")
-    values, versions, warmup = [], [], []
-    for i in range(len(y.values)):
+    """Slopes of full windows; warm where x varies in the window."""
+    values, versions = [], []
+    for i in range(min(len(y.values), len(x.values))):
         part = slice(i + 1 - n, i + 1)
-        warm = 2 <= n <= i + 1 and None not in y.values[part] and None not in x.values[part]
-        values.append(regr_slope(y.values[part], x.values[part]) if warm else None)
-        versions.append(max(*y.versions[part], *x.versions[part]) if warm else 0)
-        warmup.append(warm)
-    return Aligned(values, versions, warmup)
+        full = 2 <= n <= i + 1 and None not in y.values[part] and None not in x.values[part]
+        values.append(regr_slope(y.values[part], x.values[part]) if full else None)
+        versions.append(max(*y.versions[part], *x.versions[part]) if full else 0)
+    return Aligned(values, versions, [v is not None for v in values])
+
+
+def smoothed(x: np.ndarray, first: float, keep: float, block: int = 64) -> np.ndarray:
+    """out[0] = first and out[i] = keep * out[i - 1] + (1 - keep) * x[i], in blocks of vector operations."""
+    n = len(x) - 1
+    out = np.empty(n + 1)
+    out[0] = first
+    if not n:
+        return out
+    steps = np.arange(block)
+    weights = np.where(steps[:, None] >= steps, keep ** np.maximum(steps[:, None] - steps, 0), 0.0) * (1 - keep)
+    rows = np.zeros((-(-n // block), block))
+    rows.ravel()[:n] = x[1:]
+    rows = rows @ weights.T  # each block as if it began at nothing
+    fade, level = keep ** (steps + 1), first
+    for i in range(len(rows)):
+        rows[i] += fade * level
+        level = rows[i, -1]
+    out[1:] = rows.ravel()[:n]
+    return out

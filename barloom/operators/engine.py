@@ -17,6 +17,7 @@ from barloom.sources.catalog import EMPTY_HASH, Catalog
 
 LOWEST = -(1 << 63)
 MOST_BROADCAST = 1_000_000  # timestamps of a page, or bars of a benchmark, of about 32 bytes each
+MOST_RANKED = 1000  # timestamps of a page that are found by rank; more take a second pass
 MOST_COINS = 10_000  # coins of a request whose assets are broadcast
 SCHEMA = "coin string, indicator string, timestamp_start long, timestamp_end long, value {}, version long, warmup_complete boolean"
 
@@ -48,9 +49,9 @@ class Plan:
     path: str  # computed, object or raw
 
 
-def plan(request: Request, catalog: Catalog | None = None) -> Plan:
-    """Parse, check and route; raises QueryError."""
-    query = parse(request.expr)
+def plan(request: Request, catalog: Catalog | None = None, query: Query | None = None) -> Plan:
+    """Parse, unless the query is given, check and route; raises QueryError."""
+    query = parse(request.expr) if query is None else query
 
     def fail(message: str, pos: int | None = None):
         raise QueryError("compile_error", message, request.expr, pos)
@@ -111,8 +112,11 @@ def page(rows: DataFrame, request: Request) -> DataFrame:
     rows = rows.filter((F.col("value").isNotNull()) & (F.col("timestamp_start") >= start) & (F.col("timestamp_start") > request.after_ts))
     if request.limit is None:
         return rows
+    if request.limit <= MOST_RANKED:  # each task keeps its first timestamps, before one sorts them
+        place = F.dense_rank().over(Window.orderBy("timestamp_start"))
+        return rows.withColumn("place", place).filter(F.col("place") <= request.limit).drop("place")
     first = rows.select("timestamp_start").distinct().orderBy("timestamp_start").limit(request.limit)
-    return rows.join(F.broadcast(first) if request.limit <= MOST_BROADCAST else first, "timestamp_start", "left_semi")
+    return rows.join(F.broadcast(first) if request.limit <= MOST_BROADCAST else first, "timestamp_start", "left_semi").select(rows.columns)
 
 
 def _named(catalog: Catalog, coins: list[str] | None) -> DataFrame:
@@ -151,13 +155,17 @@ def _computed(catalog: Catalog, p: Plan, strict: bool) -> DataFrame | None:
             raise QueryError("compile_error", "the catalog has no candles", p.request.expr)
         # candles are stored without source or other identity
         candles = catalog.candles.filter((F.col("reporting_period") == a.period) & (F.col("params_hash") == EMPTY_HASH) & scanned)
+        if p.request.assets is not None:
+            candles = candles.join(_named(catalog, p.request.assets).select("asset"), "asset", "left_semi")
         rows = rows.join(candles.select("asset", "timestamp_start", "open", "high", "low"), ["asset", "timestamp_start"], "left")
     for i, ticker in enumerate(a.tickers):
         own = Window.partitionBy("asset").orderBy("timestamp_start")
         bench = _facts(catalog.data, catalog, a, [ticker], "close").filter(scanned)
         change = guarded_return(F.col("value"), F.lag("value").over(own), None)
         bench = bench.select("timestamp_start", F.col("value").alias(f"bench_close_{i}"), change.alias(f"bench_ret_{i}")).filter(F.col(f"bench_ret_{i}").isNotNull())
-        rows = rows.join(bench, "timestamp_start", "left")
+        # a coin has one bar at each step of the range
+        small = high - max(LOWEST, low - a.lookback * step) < MOST_BROADCAST * step
+        rows = rows.join(F.broadcast(bench) if small else bench, "timestamp_start", "left")
     lowering = Lowering(a, p.request.params, p.request.expr, strict)
     members = {name: lowering.lower(member) for name, member in p.query.members.items()}
     for level in lowering.folds:

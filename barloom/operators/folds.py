@@ -7,39 +7,52 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from barloom.functions.kernels import ema_values, rsi_from_avgs, rsi_values, wilder_values
+from barloom.functions.kernels import smoothed
 from barloom.operators.lowering import Fold
 
 
-def _ema_of_closes(x: list, n: int) -> list:
-    """Over row closes: the seed skips nulls, a later null ends it."""
-    out: list = [None] * len(x)
-    seed = [v for v in x[:n] if v is not None]
-    if len(x) < n or not seed:
-        return out
-    k, e = 2 / (n + 1), sum(seed) / len(seed)
-    out[n - 1] = e
-    for i in range(n, len(x)):
-        if x[i] is None:
-            break
-        e = x[i] * k + e * (1 - k)
-        out[i] = e
+def _chain(x: np.ndarray, at: int, seed: float, keep: float) -> np.ndarray:
+    """The recurrence from the seed at a place up to the next undefined value."""
+    out = np.full(len(x), np.nan)
+    gaps = np.flatnonzero(np.isnan(x[at + 1 :]))
+    end = at + 1 + (int(gaps[0]) if len(gaps) else len(x) - at - 1)
+    out[at:end] = smoothed(x[at:end], seed, keep)
     return out
 
 
-def _rsi_of_closes(x: list, n: int) -> list:
-    """Over row closes: a missing step is neither gain nor loss."""
-    out: list = [None] * len(x)
-    if len(x) <= n:
+def ema(x: np.ndarray, n: int, own: bool) -> np.ndarray:
+    """Seeded by the mean of n values: for row closes the first n, without the undefined
+    ones; else the first n in a row that are defined. A later undefined value ends it."""
+    known = ~np.isnan(x)
+    if own:
+        at = n - 1 if len(x) >= n and known[:n].any() else -1
+    else:
+        sums = np.concatenate([[0], np.cumsum(known)])
+        whole = np.flatnonzero(sums[n:] - sums[:-n] == n) if len(x) >= n else []
+        at = int(whole[0]) + n - 1 if len(whole) else -1
+    if at < 0:
+        return np.full(len(x), np.nan)
+    return _chain(x, at, float(np.nanmean(x[at + 1 - n : at + 1])), 1 - 2 / (n + 1))
+
+
+def wilder(x: np.ndarray, n: int) -> np.ndarray:
+    """The first range is undefined; the seed is the mean of the next n."""
+    if len(x) <= n or np.isnan(x[1 : n + 1]).any():
+        return np.full(len(x), np.nan)
+    return _chain(x, n, float(x[1 : n + 1].mean()), (n - 1) / n)
+
+
+def rsi(x: np.ndarray, n: int, own: bool) -> np.ndarray:
+    """For row closes a step from or to an undefined value is neither gain nor loss; else it leaves all undefined."""
+    out = np.full(len(x), np.nan)
+    if len(x) <= n or not own and np.isnan(x).any():
         return out
-    steps = [0.0 if a is None or b is None else b - a for a, b in zip(x, x[1:], strict=False)]
-    gain = sum(max(s, 0.0) for s in steps[:n]) / n
-    loss = sum(max(-s, 0.0) for s in steps[:n]) / n
-    out[n] = rsi_from_avgs(gain, loss)
-    for i in range(n, len(steps)):
-        gain = (gain * (n - 1) + max(steps[i], 0.0)) / n
-        loss = (loss * (n - 1) + max(-steps[i], 0.0)) / n
-        out[i + 1] = rsi_from_avgs(gain, loss)
+    steps = np.nan_to_num(np.diff(x), nan=0.0)
+    up, down = np.maximum(steps, 0), np.maximum(-steps, 0)
+    keep = (n - 1) / n
+    gain, loss = (smoothed(s[n - 1 :], float(s[:n].mean()), keep) for s in (up, down))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out[n:] = np.where(loss == 0, np.where(gain > 0, 100.0, 50.0), 100 - 100 / (1 + gain / loss))
     return out
 
 
@@ -52,14 +65,8 @@ def with_folds(df: DataFrame, folds: list[Fold]) -> DataFrame:
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("timestamp_start")
         for op, n, own, name in plan:
-            x = [None if v is None or v != v else float(v) for v in group.pop(f"{name}_of")]
-            if op == "EMA":
-                out = _ema_of_closes(x, n) if own else ema_values(x, n)
-            elif op == "RSI":
-                out = _rsi_of_closes(x, n) if own else rsi_values(x, n)
-            else:
-                out = wilder_values(x, n)
-            group[name] = np.array([np.nan if v is None else v for v in out])
-        return group
+            x = group[f"{name}_of"].to_numpy(dtype=np.float64, na_value=np.nan)
+            group[name] = ema(x, n, own) if op == "EMA" else rsi(x, n, own) if op == "RSI" else wilder(x, n)
+        return group[schema.names]
 
     return argued.groupBy("coin", "seg_key").applyInPandas(run, schema)

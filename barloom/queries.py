@@ -8,6 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions.columns import Rolling
 from barloom.functions.intervals import INTERVALS, params_hash
 from barloom.operators.engine import Request, execute
 from barloom.sources.catalog import Catalog, bars, catalog_of_bars, utc_micros
@@ -179,6 +180,58 @@ def object_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALL["object_text"] = (object_text, sql({"value": ("high - low",)}))
 
 
+def kernel(make: Callable[[Rolling, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Rows of the column k that make adds to the hourly bars, undefined ones too."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = make(Rolling(("coin",), "timestamp_start"), event_bars(spark, sf_dir).filter("timestamp_start is not null"))
+        return out.select("coin", "timestamp_start", F.round("k.value", 6).alias("value"), "k.version", F.col("k.warmup").alias("warmup"))
+
+    return run
+
+
+def kernel_sql(value: str, version: str = "version") -> str:
+    """value over bars with pc and ph, the last close and high, rt, the return, and whole paths."""
+    c = "(PARTITION BY coin ORDER BY t)"
+    return sql({"value": ("close",)}).split("limits AS")[0] + f"""
+before AS (SELECT *, lag(close) OVER {c} AS pc, lag(high) OVER {c} AS ph, row_number() OVER {c} AS nth FROM bars WHERE t IS NOT NULL),
+rs AS (SELECT *, CASE WHEN high > 0 AND ph > 0 AND abs(high / ph - 1) <= 5 THEN high / ph - 1 END AS rt,
+              CASE WHEN pc IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL THEN greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr FROM before),
+paths AS (SELECT *, list(close) OVER {c} AS closes, list(tr) OVER {c} AS trs, list(greatest(close - pc, 0)) OVER {c} AS gains, list(greatest(pc - close, 0)) OVER {c} AS losses FROM rs),
+found AS (SELECT coin, t, ({value})::DOUBLE AS v, ({version})::BIGINT AS version FROM paths)
+SELECT coin, t AS timestamp_start, round(v, 6) AS value, version, v IS NOT NULL AS warmup FROM found"""
+
+
+def _gated(f: str, x: str, n: int) -> tuple[str, str]:
+    w = f"OVER (PARTITION BY coin ORDER BY t ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    full = f"count({x}) {w} = {n}"
+    return f"CASE WHEN {full} THEN {f.replace('#', w)} END", f"CASE WHEN {full} THEN max(version) {w} ELSE version END"
+
+
+def _seeded(value: str, first: int, many: int) -> tuple[str, str]:
+    return value, f"CASE WHEN nth = {first} THEN max(version) OVER (PARTITION BY coin ORDER BY t ROWS BETWEEN {many - 1} PRECEDING AND CURRENT ROW) ELSE version END"
+
+
+def _returns(k: Rolling, bars_: DataFrame) -> DataFrame:
+    return bars_.withColumn("rt", k.ret(F.col("high"))["value"])
+
+
+_SLOPE3 = "CASE WHEN max(open) # > min(open) # THEN regr_slope(close, open) # END"
+KERNELS: dict[str, tuple[Callable, str]] = {
+    "kernel_ret": (kernel(lambda k, b: b.withColumn("k", k.ret(F.col("high")))), kernel_sql("rt")),
+    "kernel_tr": (kernel(lambda k, b: b.withColumn("k", k.tr(F.col("high"), F.col("low"), F.col("close")))), kernel_sql("tr")),
+    "kernel_avg": (kernel(lambda k, b: _returns(k, b).withColumn("k", k.avg(F.col("rt"), 5))), kernel_sql(*_gated("avg(rt) #", "rt", 5))),
+    "kernel_var": (kernel(lambda k, b: _returns(k, b).withColumn("k", k.var(F.col("rt"), 5))), kernel_sql(*_gated("avg(rt * rt) # - avg(rt) # * avg(rt) #", "rt", 5))),
+    "kernel_std": (kernel(lambda k, b: _returns(k, b).withColumn("k", k.std(F.col("rt"), 5))), kernel_sql(*_gated("sqrt(greatest(0, avg(rt * rt) # - avg(rt) # * avg(rt) #))", "rt", 5))),
+    "kernel_count": (kernel(lambda k, b: _returns(k, b).withColumn("k", k.count(F.col("rt"), 3))), kernel_sql(*_gated("3", "rt", 3))),
+    "kernel_regr_slope": (kernel(lambda k, b: b.withColumn("k", k.regr_slope(F.col("close"), F.col("open"), 3))), kernel_sql(_gated(_SLOPE3, "close + open", 3)[0], _gated("", "close + open", 3)[1].replace("ELSE version", "ELSE 0"))),
+    "kernel_ema": (kernel(lambda k, b: k.with_ema(b, "k", F.col("close"), 14)), kernel_sql(*_seeded(EMA14[0], 14, 14))),
+    "kernel_atr": (kernel(lambda k, b: k.with_atr(b, "k", F.col("high"), F.col("low"), F.col("close"), 14)), kernel_sql(*_seeded(ATR14[0], 15, 15))),
+    "kernel_rsi": (kernel(lambda k, b: k.with_rsi(b, "k", F.col("close"), 14)), kernel_sql(RSI14[0])),
+}
+ALL |= KERNELS
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v[0] for k, v in ALL.items()}
 

@@ -2,11 +2,13 @@
 
 import math
 
+import numpy as np
 import pytest
 
-from barloom.api import compile_file, compile_json
+from barloom.api import compile_batch, compile_expr, compile_file, compile_json, parse_batch, parse_expr
 from barloom.functions import intervals, kernels
 from barloom.functions.kernels import Aligned
+from barloom.operators import folds
 from barloom.operators.engine import Request, plan
 from barloom.plans import domain as d
 from barloom.plans.errors import QueryError
@@ -199,3 +201,44 @@ def test_json(tmp_path):
     (tmp_path / "q.json").write_text(json.dumps(body | {"expr": "AVG("}))
     assert json.loads(compile_file(tmp_path / "q.json"))["error"]["code"] == "parse_error"
     assert json.loads(compile_json("{"))["error"]["code"] == "parse_error"
+
+
+def test_kernels_are_warm_where_they_have_a_value():
+    flat, rising = aligned(*[2.0] * 5), aligned(1.0, 2.0, 3.0, 4.0, 5.0)
+    slope = kernels.rolling_regr_slope(rising, flat, 3)
+    assert slope.values == [None] * 5 and slope.warmup == [False] * 5
+    none = kernels.rolling_stat(rising, 2, lambda w: None if w[0] == 2 else w[0])
+    assert none.values == [None, 1, None, 3, 4] and none.warmup == [False, True, False, True, True]
+    assert kernels.rolling_regr_slope(rising, aligned(1.0, 2.0, 3.0), 2).values == [None, 1, 1]
+    assert rising.map_zip(aligned(1.0, None, 1.0, 1.0, 1.0), max).warmup == [True, False, True, True, True]
+    assert len(kernels.tr_series([2.0, 3.0], [1.0], rising).values) == 1
+
+
+def test_smoothed_is_the_recurrence():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 63, 64, 65, 200, 1000):
+        for keep in (0.0, 0.5, 13 / 15):
+            x, out = rng.standard_normal(n), []
+            for v in x:
+                out.append(keep * out[-1] + (1 - keep) * v if out else 0.3)
+            assert np.allclose(kernels.smoothed(x, 0.3, keep), out, rtol=0, atol=1e-12)
+
+
+def test_folds_are_the_kernels():
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        x = rng.uniform(1, 9, int(rng.integers(0, 40)))
+        x[rng.random(len(x)) < rng.choice([0, 0.1])] = np.nan
+        listed = [None if np.isnan(v) else float(v) for v in x]
+        for n in (1, 3, 14):
+            for got, want in ((folds.ema(x, n, False), kernels.ema_values(listed, n)), (folds.wilder(x, n), kernels.wilder_values(listed, n)), (folds.rsi(x, n, False), kernels.rsi_values(listed, n))):
+                assert np.allclose(got, [np.nan if v is None else v for v in want], atol=1e-9, equal_nan=True)
+
+
+def test_parsed_forms():
+    request = Request("AVG([close.1d], 14)", ["BTC"])
+    expr = parse_expr(request.expr)
+    assert compile_expr(request, expr) == plan(request) == compile_batch(request, parse_batch(request.expr))
+    with pytest.raises(QueryError):
+        parse_expr("{a: [close.1d]}")
+    assert list(parse_batch("{b: [close.1d], a: [close.1d]}").members) == ["a", "b"]
