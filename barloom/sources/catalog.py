@@ -51,10 +51,14 @@ def bars(ticks: DataFrame, period: str, coin: str, micros: Column, value: str, o
 
     micros is a column of epoch microseconds, of which the nearest millisecond decides the
     bar; order breaks ties of time and gives the version. Ticks without a value give no price, but count as volume; ticks of a null
-    coin make bars of a null coin. The aggregation combines before its only shuffle.
+    coin make bars of a null coin. The aggregation combines before its only shuffle; time
+    and order, which must be whole numbers, are one decimal, so that it hashes and never
+    sorts the ticks.
     """
     step = interval_ms(period)
-    moment = F.when(F.col(value).isNotNull(), F.struct(micros.alias("t"), F.col(order).isNull().alias("none"), F.col(order).alias("o")))
+    whole = lambda n: F.expr(f"cast({n} as decimal(20, 0))")
+    after = F.coalesce(F.col(order).cast("decimal(20, 0)") + whole(1 << 63), whole(1 << 64))  # null last
+    moment = F.when(F.col(value).isNotNull(), micros.cast("decimal(18, 0)") * whole(1 << 65) + after)
     millis = F.call_function("div", micros + F.when(micros < 0, -500).otherwise(500), F.lit(1000))
     return ticks.groupBy(F.col(coin).alias("coin"), (F.floor(millis / step).cast("long") * step).alias("timestamp_start")).agg(
         F.min_by(value, moment).alias("open"),
