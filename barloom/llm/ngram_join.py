@@ -3,7 +3,11 @@
 Shingles are ordered by estimated frequency, rare ones first. Two sets of enough
 overlap share at least k shingles of their k-prefixes, whatever k each uses, taking
 the smaller. Each document lengthens its prefix while the estimated cost of its
-candidates falls. Of two prefixes the one that ends earlier in the order holds all that
+candidates falls. Candidates meet in the k-prefixes' beginnings, one of whose shingles
+must be shared: for the larger set the first n - o + 1, where o is the smallest overlap
+with any similar set, for the smaller set fewer, since its partners are as large as
+itself at least. So texts that a passage makes almost similar do not meet in the
+passage's shingles. Of two prefixes the one that ends earlier in the order holds all that
 its set shares with the other among its own shingles, so that their overlap is at most
 what the prefixes share and what lies after it; pairs that this bound rules out are
 dropped, where shingles that no other component has are known not to be shared.
@@ -214,14 +218,17 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, n
 def candidates(lists: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of classes of different parts whose prefixes do not rule out a link.
 
-    lists has token, cid and part for the tokens that several parts have in prefixes;
-    facts has n, k and last of each cid.
+    lists has token, cid, part and place (in the order of the class's set) for the tokens
+    that several parts have in prefixes; facts has n, k and last of each cid. A pair needs
+    a shared token in the beginnings of both prefixes and as many in the whole prefixes as
+    the smaller k, or as the required overlap leaves to them.
     """
-    kept = lists.groupBy("cid").agg(F.count("*").alias("kept"))
+    kept = lists.groupBy("cid").agg(F.count("*").alias("kept"), F.collect_list("token").alias("tokens"))
     tail = F.ceil(F.col("n") * num / den).cast("long") - F.col("k")
-    each = facts.join(kept, "cid").select("cid", "n", "k", "last", tail.alias("tail"), (tail + F.col("kept")).alias("most"))
-    rows = lists.join(each, "cid")
-    left, right = (rows.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("cid", "part", "n", "k", "last", "tail", "most"))) for side in "ab")
+    each = stored(facts.join(kept, "cid").select("cid", "n", "k", "last", tail.alias("tail"), (tail + F.col("kept")).alias("most"), "tokens"), "prefixes")
+    rows = lists.join(each.drop("tokens"), "cid").filter(f"place <= n - ({num} * n + {den} - 1) div {den}")
+    short = rows.filter(f"place <= n - ({2 * num} * n + {num + den} - 1) div {num + den}")
+    left, right = (side.select("token", *(F.col(c).alias(f"{c}_{name}") for c in ("cid", "part", "n", "k", "last", "tail", "most"))) for side, name in ((short, "a"), (rows, "b")))
 
     def bound(name: str) -> str:
         """name of the side whose prefix ends earlier."""
@@ -229,11 +236,13 @@ def candidates(lists: DataFrame, facts: DataFrame, num: int, den: int) -> DataFr
 
     overlap = f"{num} * (n_a + n_b)"  # times num + den
     met = left.join(right, "token").filter(
-        f"cid_a < cid_b and part_a <> part_b and {den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b) and {num + den} * ({bound('most')}) >= {overlap}"
+        f"(n_a < n_b or n_a = n_b and cid_a < cid_b) and part_a <> part_b and {den} * n_a >= {num} * n_b and {num + den} * ({bound('most')}) >= {overlap}"
     )
     asked = F.expr(f"greatest(least(k_a, k_b), cast(ceil({overlap} / {num + den}) as bigint) - ({bound('tail')}))")
-    pairs = met.groupBy(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).agg(F.count("*").alias("shared"), F.first(asked).alias("asked"))
-    return pairs.filter("shared >= asked").select("a", "b")
+    pairs = met.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"), asked.alias("asked")).distinct()
+    for side in "ab":
+        pairs = pairs.join(each.select(F.col("cid").alias(side), F.col("tokens").alias(f"tokens_{side}")), side)
+    return pairs.filter(F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.col("asked")).select("a", "b")
 
 
 def similar_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -271,9 +280,9 @@ def similar_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
         first = connected_components(near)
 
     joined = classes.select("cid", "prefix").join(first, F.col("cid") == F.col("node"), "left")
-    lists = joined.select("cid", F.coalesce("component", "cid").alias("part"), F.explode("prefix").alias("token"))
+    lists = joined.select("cid", F.coalesce("component", "cid").alias("part"), F.posexplode("prefix").alias("place", "token"))
     ends = lists.withColumn("low", F.expr("min(part) over (partition by token)")).withColumn("high", F.expr("max(part) over (partition by token)"))
-    ends = stored(ends.filter("low <> high").select("token", "cid", "part"), "lists")
+    ends = stored(ends.filter("low <> high").select("token", "cid", "part", "place"), "lists")
     pairs = stored(candidates(ends, classes.select("cid", "n", "k", "last"), num, den), "pairs")
     dropped(docs.sparkSession, ends)
     far = verified(pairs, classes, docs, size, num, den)

@@ -91,6 +91,25 @@ def test_ngram_join(request, which, size, num):
     assert got == components(texts(docs), size, num, 100)
 
 
+def test_ngram_join_of_texts_just_below_the_threshold(spark):
+    """Many texts share a passage; some are similar, most just not, in all sizes."""
+    rng = np.random.default_rng(8)
+    passage = [f"p{i}" for i in range(120)]
+    given = []
+    for i in range(260):
+        own = [f"o{i}x{j}" for j in range(int(rng.integers(2, 18)))]
+        at = int(rng.integers(0, 121))
+        given.append((i, " ".join(passage[:at] + own + passage[at:] if i % 3 else own + passage)))
+    for i in range(260, 300):
+        words = given[int(rng.integers(260))][1].split()
+        words[int(rng.integers(len(words)))] = f"c{i}"
+        given.append((i, " ".join(words)))
+    docs = spark.createDataFrame(given, "doc_id long, text string")
+    for size, num in ((3, 90), (5, 80)):
+        got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows(ngram_join.similar_components(docs, size, num, 100)))
+        assert got == components(given, size, num, 100)
+
+
 def test_one_of_each(odd, nothing):
     kept = sorted((r.doc_id for r in ngram_join.one_of_each(odd).collect()), key=str)
     assert kept == sorted([1, 10, 4, 5, 6, 7, 8, 9, None, None], key=str)
