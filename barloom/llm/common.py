@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where it is unset."""
+    """The folder in spark.checkpoint.dir; a local one only where that is unset and all runs in one process."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = getattr(spark, "_barloom_shared", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="barloom-")
@@ -60,6 +63,12 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def guarded(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work(docs), with columns that begin with two underscores, as work's own do, out of the way."""
+    hidden = {c: f"barloom_{i}" for i, c in enumerate(docs.columns) if c.startswith("__")}
+    return work(docs.withColumnsRenamed(hidden)).withColumnsRenamed({new: old for old, new in hidden.items()})
+
+
 def is_held_out(doc_id) -> F.Column:
     """True for the quarter of documents whose labels nothing may learn from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))

@@ -11,7 +11,8 @@ from barloom.llm.common import dropped, stored
 def connected_components(edges: DataFrame) -> DataFrame:
     """node and component (its smallest node) for every node of edges (a, b).
 
-    Nodes are longs. Each round lets every node point its larger neighbours, then its
+    Nodes are longs; edges from a node to itself or without a node count for nothing, and
+    no edges give no rows. Each round lets every node point its larger neighbours, then its
     smaller ones, at the smallest; edges go through the shared folder between rounds.
     Only counts and a checksum reach the driver.
     """

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import dropped, record_batch, sliced, stored, texts_of
+from barloom.llm.common import dropped, guarded, record_batch, sliced, stored, texts_of
 from barloom.llm.components import connected_components
 from barloom.llm.hashing import mixed, shingle_sets
 
@@ -299,12 +299,19 @@ def similar_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
 def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with one document of each component, the one of the smallest doc_id.
 
-    Rows that repeat both doc_id and text count as one. Documents with a null doc_id
-    and documents without words stay.
+    Rows that repeat both doc_id and text count as one, and of several texts of the doc_id
+    that stays one stays. Every row with a null doc_id stays, also one that repeats, and
+    so do documents without words. All columns stay, whatever their names; an empty table
+    gives no rows.
     """
+    return guarded(docs, lambda rows: _one_of_each(rows, size, num, den))
+
+
+def _one_of_each(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     found = similar_components(docs, size, num, den).filter("n_shingles > 0 and doc_id is not null")
     stay = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("stay"))
     leave = found.join(stay, "component_id").filter(F.struct("doc_id", "key") != F.col("stay")).select(F.col("doc_id").alias("__go"), F.col("key").alias("__go_key"))
-    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__key": F.xxhash64("text")})
+    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__key": F.xxhash64("text"), "__row": own})
     rest = keyed.join(leave, (F.col("__id") == F.col("__go")) & (F.col("__key") == F.col("__go_key")), "left_anti")
-    return rest.dropDuplicates(["__id", "__key"]).drop("__id", "__key")
+    return rest.dropDuplicates(["__id", "__key", "__row"]).drop("__id", "__key", "__row")

@@ -16,7 +16,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import dropped, stored
+from barloom.llm.common import dropped, guarded, stored
 
 KEY = "barloom"
 MOST_LITERAL = 1000  # redrawn atoms that a query may hold as a literal map
@@ -279,5 +279,8 @@ def surrogate_report(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def without_personal_data(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with surrogates in text."""
-    return pseudonymised(docs, key).select(*docs.columns)
+    """docs with surrogates in text; rows and all other columns stay, whatever their names.
+
+    Null and empty texts stay as they are; an empty table gives no rows.
+    """
+    return guarded(docs, lambda rows: pseudonymised(rows, key).select(*rows.columns))

@@ -306,7 +306,10 @@ def score(docs: DataFrame, model: CoTrained, threshold: float = 0.5) -> DataFram
 
 
 def kept_by_quality(docs: DataFrame, model: CoTrained, threshold: float = 0.5) -> DataFrame:
-    """docs without those scored below threshold; all columns stay."""
+    """docs without those scored below threshold; all columns stay.
+
+    Rows are judged one by one: null texts as empty, repeated rows alike.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

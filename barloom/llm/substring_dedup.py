@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import record_batch, sliced, texts_of
+from barloom.llm.common import guarded, record_batch, sliced, texts_of
 from barloom.llm.hashing import SECOND_BASE, mixed, windows, words_of
 
 WINDOW = 35
@@ -156,7 +156,8 @@ def _intervals_of(window: int) -> Callable[[pa.Table], pa.Table]:
 def repeated_intervals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, key and intervals for the documents with repeated windows.
 
-    key is xxhash64 of the text; intervals are pairs of word positions, begin and end,
+    docs must give the same rows in the same order when it is read again, as files do:
+    places are counted in chunks of its partitions. key is xxhash64 of the text; intervals are pairs of word positions, begin and end,
     ascending and apart, as unsigned 32-bit integers. One row for each doc_id and key.
     """
     spark = docs.sparkSession
@@ -213,11 +214,16 @@ def removal_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with repeated passages cut out of text; other columns stay.
+    """docs with repeated passages cut out of text; other columns stay, whatever their names.
 
-    A text that loses nothing is unchanged; of another the kept words remain, joined
-    by single spaces.
+    A text that loses nothing is unchanged, a null one stays null; of another the kept
+    words remain, joined by single spaces, none of a text that repeats as a whole.
+    Repeated rows stay repeated; an empty table gives no rows.
     """
+    return guarded(docs, lambda rows: _cut(rows, window))
+
+
+def _cut(docs: DataFrame, window: int) -> DataFrame:
     order = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -309,3 +309,36 @@ def test_pipeline(spark, small):
     out = corpus_pipeline.run(spark, small).toPandas()
     assert 0 < out.doc_id.nunique() <= docs.count()
     assert out.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def documents_of(rows, spark):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __id string, __key long, __intervals string, __entities int, __attempts int, __go int")
+
+
+def test_stages_on_odd_documents(spark, small):
+    """Nulls in every column, empty and long texts, repeats, clashing names, and no rows."""
+    import corpus_pipeline
+
+    base = " ".join(f"word{i}" for i in range(80))
+    more = ("i", 5, "v", 6, 7, 8)
+    rows = [(1, base, "en", "a", 500, *more), (1, base, "en", "a", 500, *more), (2, base + " tail", "en", "a", 505, *more), (3, None, None, None, None, *([None] * 6)), (4, "", "en", "a", 0, *more), (None, "write to bob@b.de", "en", None, 9, *more), (None, "write to bob@b.de", "en", None, 9, *more), (5, " ".join(f"long{i % 977}" for i in range(30_000)), "de", "b", -1, *more), (6, "Mr Bob Smith, bob@b.de", "xx", "", 3, *more)]
+    docs = documents_of(rows, spark)
+    stages = dict(corpus_pipeline.STAGES)
+    for name in list(stages)[:-1]:
+        out = stages[name](spark, docs, small)
+        assert out.columns == docs.columns and stages[name](spark, docs.limit(0), small).count() == 0
+        got = out.collect()
+        assert all(r["__id"] in ("i", None) and r["__entities"] in (6, None) for r in got)
+        if name == "near duplicates":
+            assert sorted(r.doc_id or 0 for r in got) == [0, 0, 1, 3, 4, 5, 6]
+        elif name == "repeated passages":
+            assert len(got) == 9 and sorted(r.text for r in got if r.doc_id in (1, 2)) == ["", "", "tail"]
+        elif name == "personal data":
+            mails = {r.text.split()[-1] for r in got if r.doc_id in (None, 6)}
+            assert len(got) == 9 and len(mails) == 1 and "bob@b.de" not in mails
+        else:
+            assert 0 < len(got) <= 9 and len([r for r in got if r.doc_id == 1]) in (0, 2)
+    packed = stages["packing"](spark, docs, small)
+    assert packed.filter("doc_id is null").count() == 2 and packed.filter("doc_id in (3, 4)").collect()[0].length == 1
+    assert stages["packing"](spark, docs.limit(0), small).count() == 0
+
