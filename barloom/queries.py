@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import Rolling
-from barloom.functions.intervals import INTERVALS, params_hash
+from barloom.functions.intervals import INTERVALS, params_hash, params_hash_for_source
 from barloom.operators.engine import Request, execute
 from barloom.sources.catalog import Catalog, bars, catalog_of_bars, utc_micros
 
@@ -33,6 +33,18 @@ def event_catalog(spark: SparkSession, sf_dir: str, period: str = "1h") -> Catal
     return replace(base, data=base.data.unionByName(stored), objects=objects)
 
 
+def other_source(catalog: Catalog) -> Catalog:
+    """The catalog with a second source beside the aggregated one, whose closes are twice as high."""
+    other = catalog.data.filter("data_type = 'close'").withColumns({"params_hash": F.lit(params_hash_for_source("other")), "value": F.col("value") * 2, "version": F.col("version") + 1})
+    return replace(catalog, data=catalog.data.unionByName(other))
+
+
+def lagging(catalog: Catalog) -> Catalog:
+    """The catalog without the last 120 hours of January of the coin error."""
+    late = (F.col("asset") == F.xxhash64(F.lit("error"))) & (F.col("timestamp_start") >= START + 600 * HOUR)
+    return replace(catalog, data=catalog.data.filter(~late))
+
+
 def rounded(df: DataFrame) -> DataFrame:
     """Values to six places, without those that are no number."""
     value = F.col("value").cast("double")
@@ -42,7 +54,8 @@ def rounded(df: DataFrame) -> DataFrame:
 def query(expr: str, period: str = "1h", **more) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         request = Request(expr, more.get("assets"), PARAMS, limit=more.get("limit"), after_ts=more.get("after_ts", -1), publish_from=more.get("publish_from"))
-        return rounded(execute(event_catalog(spark, sf_dir, period), request))
+        catalog = more.get("catalog", lambda c: c)(event_catalog(spark, sf_dir, period))
+        return rounded(execute(catalog, request))
 
     return run
 
@@ -167,6 +180,12 @@ ALL: dict[str, tuple[Callable, str]] = {
     "object_field": (query("[ohlc.1h->high]"), sql({"value": ("high",)})),
     "object_range": (query("{close: [ohlc.1h->close; $from:$to], low: [ohlc.1h->low; $from:$to]}"), sql({"close": ("close",), "low": ("low",)}, low=_FROM, high=_TO)),
     "stored_scalar": (query("[sma.1h{period:31}]"), sql({"value": ("close / 2",)})),
+    "source_avg": (query("AVG([other:close.1h], 14)", catalog=other_source), sql({"value": ("2 * (" + AVG14[0] + ")", "1 + " + AVG14[1], AVG14[2])}, lookback=14)),
+    "source_true_range": (query("TR([other:candle.1h])", catalog=other_source), sql({"value": ("greatest(high - low, abs(high - 2 * pc), abs(low - 2 * pc))", "version + 1", "pc IS NOT NULL")})),
+    "source_beside": (query("AVG([close.1h], 14)", catalog=other_source), sql({"value": AVG14}, lookback=14)),
+    "batch_widest_window": (query("{a: AVG([close.1h], t0, t), b: AVG([close.1h], 20)}"), sql({"a": _windowed("avg(close) #", 20), "b": _windowed("avg(close) #", 20)}, lookback=20)),
+    "slice_all": (query("AVG([close.1h], 14)[:]"), sql({"value": AVG14}, lookback=14)),
+    "lagging_coin": (query("AVG([close.1h; 150@latest], 14)", catalog=lagging), sql({"value": AVG14}, **_last(150, 1), lookback=14).replace("seg AS (", f"ahead AS (SELECT * FROM scanned WHERE coin IS DISTINCT FROM 'error' OR t < {START + 600 * HOUR}),\nseg AS (", 1).replace("AS seg FROM scanned", "AS seg FROM ahead", 1)),
 }
 
 

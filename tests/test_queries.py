@@ -59,7 +59,7 @@ def test_bars_do_not_depend_on_the_session_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", zone)
 
 
-@pytest.mark.parametrize("name", ["avg", "std", "regr_benchmark", "true_range", "ema_padded", "separation_over_atr", "rsi", "integer_division", "math_functions", "slice_middle", "batch", "page_limit", "object_range", "stored_scalar", *queries.KERNELS])
+@pytest.mark.parametrize("name", ["avg", "std", "regr_benchmark", "true_range", "ema_padded", "separation_over_atr", "rsi", "integer_division", "math_functions", "slice_middle", "batch", "page_limit", "object_range", "stored_scalar", "source_avg", "source_true_range", "source_beside", "batch_widest_window", "slice_all", "lagging_coin", *queries.KERNELS])
 def test_against_sql(spark, name):
     compared(spark, FOLDER, name)
 
