@@ -33,7 +33,6 @@ from barloom.llm.components import connected_components
 from barloom.llm.hashing import mixed, shingle_sets
 
 CELLS = 1 << 20  # of the frequency sketch
-LONGEST_MATCH = 8
 KEYS = 3  # smallest hashes of each round that compares blocks
 _ORDERS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)  # a round each
 MOST_SENT = 200_000  # classes, of at most about 200 bytes each, that are broadcast to find their texts
@@ -79,9 +78,9 @@ def frequency_sketch(docs: DataFrame, size: int) -> np.ndarray:
 def chosen_prefix(hashes: np.ndarray, sketch: np.ndarray, num: int, den: int) -> tuple[int, np.ndarray]:
     """How many shared shingles the prefix asks for, and the prefix.
 
-    Empty when no other set can be similar. The cost of asking for k is the estimated
-    length of the prefix's posting lists, plus n for each candidate, of which there are
-    at most 1/k of that length.
+    Empty when no other set can be similar. The cost of asking for k is a row for each
+    shingle of the prefix, and the estimated number of other sets in the prefix's posting
+    lists plus n for each candidate, of which there are at most 1/k of that number.
     """
     n = len(hashes)
     if den * n < num * (n + 1):
@@ -89,11 +88,10 @@ def chosen_prefix(hashes: np.ndarray, sketch: np.ndarray, num: int, den: int) ->
     often = sketch[(hashes % np.uint64(CELLS)).astype(np.int64)]
     order = np.lexsort((hashes, often))
     need = int(required(n, num, den))
-    most = min(LONGEST_MATCH, need)
-    lists = np.cumsum(often[order])[n - need : n - need + most].astype(np.float64)
-    cost = lists * (1 + n / np.arange(1, most + 1))
-    k = int(np.argmin(cost)) + 1
-    return k, hashes[order[: n - need + k]]
+    k = np.arange(1, need + 1)
+    others = np.cumsum(often[order] - 1.0)[n - need :]
+    best = int(np.argmin(k + others * (1 + n / k))) + 1
+    return best, hashes[order[: n - need + best]]
 
 
 def end_in_order(prefix: np.ndarray, sketch: np.ndarray) -> int:
