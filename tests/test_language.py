@@ -242,3 +242,38 @@ def test_parsed_forms():
     with pytest.raises(QueryError):
         parse_expr("{a: [close.1d]}")
     assert list(parse_batch("{b: [close.1d], a: [close.1d]}").members) == ["a", "b"]
+
+
+def bars_of(domain, newest):
+    """The bars (1 to newest) of a domain on a grid of one millisecond."""
+    low, high = d.emit_bounds(domain, 1, newest, 1, 1)
+    return list(range(low, high + 1))
+
+
+@pytest.mark.parametrize("domain", [d.Full(), d.Absolute(3, 17), d.Latest(9, 0), d.Latest(9, 4), d.Latest(d.MOST, 0), d.Latest(d.MOST, 3), d.FromStart(1, 8), d.FromStart(4, 8), d.FromStart(4, d.MOST)])
+def test_every_selection_of_a_domain(domain):
+    """Slices pick what Python's slices of the bars pick; only open ends may refuse."""
+    newest = 20
+    bars = bars_of(domain, newest)
+    n = len(bars)
+    picks = [("index", i, None, bars[i - 1 if i > 0 else i :][:1]) for i in (*range(1, n + 1), *range(-n, 0))]
+    picks += [("slice", None, i, bars[:i] if i > 0 else bars[: n + i + 1]) for i in (*range(1, n + 1), *range(-n, 0))]
+    picks += [("slice", i, None, bars[i - 1 :] if i > 0 else bars[i:]) for i in (*range(1, n + 1), *range(-n, 0))]
+    picks += [("slice", i, k, bars[i - 1 : k]) for i in range(1, n + 1) for k in range(i, n + 1)]
+    picks += [("slice", i, k, bars[i : k + 1 or None]) for i in range(-n, 0) for k in range(i, 0)]
+    refused = 0
+    for kind, first, last, want in picks:
+        try:
+            got = d.narrowed(domain, d.selection(kind, first, last), 1)
+        except d.DomainError:
+            refused += 1
+            assert d.MOST in (getattr(domain, "bars", 0), getattr(domain, "count", 0))
+            continue
+        assert bars_of(got, newest) == want, (kind, first, last)
+    assert refused < len(picks)
+
+
+@pytest.mark.parametrize("pick", [(0, None), (None, 0), (3, 2), (-2, -3), (1, -2), (-2, 1), (1 << 31, None)])
+def test_selections_that_select_nothing(pick):
+    with pytest.raises(d.DomainError):
+        d.selection("slice", *pick)
