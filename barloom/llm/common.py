@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -55,12 +57,16 @@ def stored(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
 
 
 def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Remove the files below a stored() table that no later step reads."""
+    """Remove the files below a stored() table that no later step reads.
+
+    The driver's garbage goes too: until then it holds heap, and the shuffle files of the steps before.
+    """
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+    jvm.System.gc()
 
 
 def guarded(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -90,6 +96,14 @@ def sliced(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches; then what the task has freed goes back to the system, since a worker keeps it for the next tasks."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def record_batch(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)],

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import dropped, guarded, record_batch, sliced, stored, texts_of
+from barloom.llm.common import dropped, guarded, record_batch, sliced, stored, texts_of, trimmed
 from barloom.llm.components import connected_components
 from barloom.llm.hashing import mixed, shingle_sets
 
@@ -69,7 +69,7 @@ def frequency_sketch(docs: DataFrame, size: int) -> np.ndarray:
         yield record_batch(schema, [pa.array([block], pa.int32()), [np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()]])
 
     out = np.zeros((blocks, CELLS // blocks), dtype=np.int64)
-    for row in docs.select("text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect():
+    for row in docs.select("text").mapInArrow(lambda batches: trimmed(count(batches)), "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect():
         out[row.block] = np.frombuffer(row.counts, dtype="<u4")
     out = out.reshape(-1)
     return np.clip(out - int(np.median(out)), 1, (1 << 31) - 1).astype(np.int32)
@@ -122,7 +122,7 @@ def document_sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 yield record_batch(schema, [batch.column("doc_id").slice(a, b - a), batch.column("key").slice(a, b - a), *zip(*rows, strict=True)])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    return rows.mapInArrow(run, "doc_id long, key long, n long, digest binary, k int, last long, prefix array<long>, mins array<long>")
+    return rows.mapInArrow(lambda batches: trimmed(run(batches)), "doc_id long, key long, n long, digest binary, k int, last long, prefix array<long>, mins array<long>")
 
 
 def with_texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import dropped, is_held_out, record_batch, stored, texts_of
+from barloom.llm.common import dropped, is_held_out, record_batch, stored, texts_of, trimmed
 from barloom.llm.toxicity import fit_logistic
 
 FIT_DOCUMENTS = 12_000  # labelled documents that the views are fitted on
@@ -170,7 +170,7 @@ class StoredPool:
 
         found = self.features.mapInArrow(run, "view int, label int, sure double, id long, row long")
         found = found.withColumn("nth", F.expr("row_number() over (partition by view, label order by sure desc, id, row)")).filter(F.col("nth") <= most)
-        ranked = found.orderBy("view", F.desc("label"), "nth").collect()
+        ranked = sorted(found.collect(), key=lambda r: (r.view, -r.label, r.nth))
         chosen: list[list[tuple[int, int]]] = [[], []]
         for v in (0, 1):
             for label, take in ((1, takes[0]), (0, takes[1])):
@@ -180,10 +180,20 @@ class StoredPool:
         rows = [r for c in chosen for r, _ in c]
         if not rows:
             return [([], [])] * 2
-        wanted = F.broadcast(self.spark.createDataFrame([(r,) for r in rows], "row long"))
-        features = {r.row: (np.array(r.v0), np.array(r.v1)) for r in self.features.join(wanted, "row").select("row", "v0", "v1").collect()}
+        features = self._of(rows)
         return [([np.array([features[r][u] for r, _ in c]) for u in (0, 1)] if c else [], [label for _, label in c]) for c in chosen]
 
+    def _of(self, rows: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Both views' features of some rows; no table of them is built on the driver."""
+        sent = self.spark.sparkContext.broadcast(np.array(sorted(rows), dtype=np.int64))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(np.isin(batch.column("row").to_numpy(), sent.value)))
+
+        found = self.features.select("row", "v0", "v1").mapInArrow(run, "row long, v0 array<double>, v1 array<double>").toArrow()
+        return {r: (np.array(a), np.array(b)) for r, a, b in zip(*(found.column(c).to_pylist() for c in ("row", "v0", "v1")), strict=True)}
+
 
 def _matrices(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [batch.column(c).flatten().to_numpy().reshape(len(batch), -1) for c in ("v0", "v1")]
@@ -279,7 +289,7 @@ def _featured(columns: list[str]):
                 own = [batch.column(c) for c in columns]
                 yield pa.RecordBatch.from_arrays([*own, *(pa.array(list(u), kind) for u in _views(texts_of(batch), meta))], names=[*columns, "v0", "v1"])
 
-    return run
+    return lambda batches: trimmed(run(batches))
 
 
 def _scorer(model: CoTrained, batch: pa.RecordBatch) -> np.ndarray:
@@ -316,7 +326,7 @@ def kept_by_quality(docs: DataFrame, model: CoTrained, threshold: float = 0.5) -
         for batch in batches:
             yield batch.filter(pa.array(_scorer(sent.value, batch) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda batches: trimmed(run(batches)), docs.schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from barloom.llm import bpe, hashing, media, ngram_join, packing, substring_dedup, token_files, vocabulary
+from barloom.llm.components import connected_components
 from barloom.llm.rans import BlockError, Decoder, FrequencyTable, encode
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -396,3 +397,19 @@ def test_deep_samples_are_scaled():
     deep = np.arange(72, dtype=np.uint16).reshape(8, 9) * 900
     shallow = np.load(io.BytesIO(media.npy_tile(media.Image(deep, 65535))))
     assert shallow.max() == round(71 * 900 * 255 / 65535) and media.difference_hash(media.npy_tile(media.Image(deep, 65535))) == "ff" * 8
+
+
+def test_components_of_few_edges_take_few_jobs(spark):
+    """Every round of the contraction costs the driver plans, tasks and broadcasts; few edges need none."""
+    order = np.random.default_rng(5).permutation(60).tolist()
+    pairs = [*zip(order, order[1:40], strict=False), *zip(order[40:], order[41:], strict=False), (3, 3), (None, 4), (-7, 1 << 62), (order[0], order[1]), (order[1], order[0])]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    spark.sparkContext.setJobGroup("components", "")
+    got = Counter((r.node, r.component) for r in connected_components(edges).collect())
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("components"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = {**dict.fromkeys(order[:40], min(order[:40])), **dict.fromkeys(order[40:], min(order[40:])), -7: -7, 1 << 62: -7}
+    assert got == Counter(want.items())
+    assert Counter((r.node, r.component) for r in connected_components(edges, few=0).collect()) == got
+    assert connected_components(edges.limit(0)).count() == connected_components(edges.limit(0), few=-1).count() == 0
+    assert jobs <= 12, jobs
